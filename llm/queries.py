@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate as _decontaminate, exact as _exact
+from llm import decontaminate as _decontaminate, exact as _exact, substring as _substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.summary(_decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_exact_dedup, op8_decontaminate)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring.summary(_substring.remove_repeats(table(spark, sf_dir, "documents"), n=13))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_exact_dedup, op8_decontaminate, op10_substring_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACE = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _PLAIN = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -53,4 +58,20 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op10_substring_dedup": rf"""
+        WITH docs AS (SELECT doc_id, {_SPACE} AS ws FROM documents),
+        places AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM docs WHERE len(ws) >= 13)
+        ),
+        found AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS least FROM places) WHERE least < doc_id),
+        gone AS (SELECT doc_id, list(DISTINCT w) AS out FROM (SELECT doc_id, unnest(range(i, i + 13)) AS w FROM found) GROUP BY doc_id),
+        kept AS (
+            SELECT docs.doc_id, len(ws) AS n, coalesce(len(out), 0) AS n_removed,
+                   CASE WHEN out IS NULL THEN ws ELSE list_select(ws, list_sort(list_filter(range(1, len(ws) + 1), lambda w: NOT list_contains(out, w)))) END AS ks
+            FROM docs LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(ks, ' '), '')) AS kept_sha256
+        FROM kept
+    """,
 }
