@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import decontaminate as _decontaminate, exact as _exact, lm as _lm, neardup as _neardup, substring as _substring
+from llm import decontaminate as _decontaminate, exact as _exact, lm as _lm, mixture as _mixture, neardup as _neardup, substring as _substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.copies(table(spark, sf_dir, "documents"))
 
 
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.summary(_decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10))
 
@@ -38,7 +42,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.summary(_substring.remove_repeats(table(spark, sf_dir, "documents"), n=13))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op3_minhash_neardup, op6_exact_dedup, op8_decontaminate, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op3_minhash_neardup, op6_exact_dedup, op7_mixture, op8_decontaminate, op10_substring_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
