@@ -23,8 +23,8 @@ from llm.text import covered, windows, words
 
 #: Bits of the fingerprints of shorter windows: wrong candidates among them only cost work.
 BITS = 44
-#: Groups of documents for each shuffle partition.
-GROUPS = 4
+#: Groups of documents for each shuffle partition, and shuffle partitions for each owner: lists are as many as groups times owners.
+GROUPS, OWNED = 2, 2
 
 _REPLY = "g long, level int, owner int, bitmap binary"
 _LIST = "g long, level int, owner int, list binary, twice binary, least binary"
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, *, n: int = 13, start: int = 7, text: str =
     columns are left aside. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    owners, groups, sizes = partitions(spark), GROUPS * partitions(spark), levels(start, n)
+    owners, groups, sizes = max(1, partitions(spark) // OWNED), GROUPS * partitions(spark), levels(start, n)
     dealt = internal(docs, doc_id=doc_id, text=text).select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), F.col("doc_id").cast("long"), "text")
 
     def send(k):
