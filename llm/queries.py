@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import decontaminate as _decontaminate, exact as _exact, lm as _lm, mixture as _mixture, neardup as _neardup, substring as _substring
+from llm import chat as _chat, decontaminate as _decontaminate, exact as _exact, lm as _lm, mixture as _mixture, neardup as _neardup, substring as _substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return _chat.read_back(_chat.format_chats(told.unionByName(extra)))
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
 
@@ -42,7 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.summary(_substring.remove_repeats(table(spark, sf_dir, "documents"), n=13))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op3_minhash_neardup, op6_exact_dedup, op7_mixture, op8_decontaminate, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_minhash_neardup, op6_exact_dedup, op7_mixture, op8_decontaminate, op10_substring_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -90,6 +97,28 @@ ORACLE_SQL: dict[str, str] = {
                round(sum(log10((c + 1) / (n + kinds + 1))), 6) AS base_score, round(sum(log10(p)), 6) AS score
         FROM each, sums GROUP BY doc_id, held_out
     """,
+    "op2_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        sized AS (
+            SELECT *, lag(role) OVER w AS before, row_number() OVER w AS k, lead(role) OVER w AS next,
+                   len(text) + len(regexp_extract_all(text, '\\')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>|\[ROLE|\[/ROLE\]'))
+                   + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE 15 + len(role) END AS chars
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+        ),
+        judged AS (
+            SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'assistant' OR before = 'system' THEN role = 'user'
+                           WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (next IS NOT NULL OR role IN ('user', 'assistant')) AS fine
+            FROM sized
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(3 + sum(chars) AS BIGINT) AS formatted_chars, bool_and(fine) AS valid
+        FROM judged GROUP BY conv_id
+    """,
     "op3_minhash_neardup": rf"""
         WITH RECURSIVE docs AS (SELECT doc_id, {_LOWER_SPACE} AS ws FROM documents),
         sets AS (
