@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import chat as _chat, decontaminate as _decontaminate, exact as _exact, lm as _lm, mixture as _mixture, neardup as _neardup, substring as _substring
+from llm import chat as _chat, decontaminate as _decontaminate, exact as _exact, lm as _lm, mixture as _mixture, neardup as _neardup, secrets as _secrets, substring as _substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(table(spark, sf_dir, "documents"), n=5, percent=85)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _secrets.summary(_secrets.scan_secrets(docs, _secrets.train(docs)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.copies(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.summary(_substring.remove_repeats(table(spark, sf_dir, "documents"), n=13))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_minhash_neardup, op6_exact_dedup, op7_mixture, op8_decontaminate, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_minhash_neardup, op4_secret_scan, op6_exact_dedup, op7_mixture, op8_decontaminate, op10_substring_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
