@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,10 +15,25 @@ HOT_SHARE = 1 / 1000
 BROADCAST_ROWS = 400_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this subpackage to the Python workers, once for each Spark context; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"llm/{name}")
+    sc.addPyFile(path)
+    sc._llm_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own only where the cluster names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
+    if not where:  # on a cluster the executors could not see such a folder
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import chat as _chat, decontaminate as _decontaminate, exact as _exact, lm as _lm, mixture as _mixture, neardup as _neardup, secrets as _secrets, substring as _substring
+from llm import chat as _chat, decontaminate as _decontaminate, exact as _exact, language as _language, licenses as _licenses, lm as _lm, mixture as _mixture, neardup as _neardup, secrets as _secrets, substring as _substring
+from llm.cluster import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +40,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.summary(_secrets.scan_secrets(docs, _secrets.train(docs)))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no paths: a source is taken as a tree of folders of a thousand and a hundred documents
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return _licenses.scan_licenses(table(spark, sf_dir, "documents"), path)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.copies(table(spark, sf_dir, "documents"))
 
@@ -50,11 +58,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.summary(_decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.summary(_substring.remove_repeats(table(spark, sf_dir, "documents"), n=13))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_minhash_neardup, op4_secret_scan, op6_exact_dedup, op7_mixture, op8_decontaminate, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_chat_format, op3_minhash_neardup, op4_secret_scan, op5_license_scan, op6_exact_dedup, op7_mixture, op8_decontaminate, op9_language_id, op10_substring_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
