@@ -28,14 +28,16 @@ class Engine:
         self.spark = spark
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
-    def program(self, *sources: str, tables: dict[str, DataFrame | Relation] | None = None, facts: dict[str, Iterable[tuple]] | None = None, **options) -> Program:
-        """One program of one or more units. tables: outside relations; facts: rows of Python values for undefined relations."""
+    def program(self, *sources: str, tables: dict[str, DataFrame | Relation] | None = None, facts: dict[str, Iterable[tuple]] | None = None, check: bool = True, **options) -> Program:
+        """One program of one or more units. tables: outside relations; facts: rows of Python values for undefined relations.
+        check: compile every rule now, not when it is asked for."""
         p = Program(self, [parse_unit(s) for s in sources], **options)
         for name, t in (tables or {}).items():
             p.bind(name, t)
         for name, rows in (facts or {}).items():
             p.insert(name, *rows)
-        p.check()
+        if check:
+            p.check()
         return p
 
 
@@ -236,6 +238,8 @@ class Program:
             (name,) = s.names
             parts = [evaluate(self.spark, c, self._lookup(c)) for c in rules] + list(facts.values())
             got = {name: union(parts).as_set()}
+            if self.check_bounds:
+                self.bounds.check_kinds(name, got[name].kinds)
         for n, r in got.items():
             self._done[n] = coalesce(r) if n in self.temporal and r.arity >= 2 else r
 

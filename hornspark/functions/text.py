@@ -9,20 +9,31 @@ from hornspark.kinds import DURATION, FLOAT, TIME, Kind, interval, micros
 _DIV = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
 
 
+def let(c: Column, f) -> Column:
+    """f of a column that is worked out once, which keeps large expressions small."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def float_text(x: Column) -> Column:
     """The shortest digits, without an exponent; whole numbers without a point."""
+
+    def plain(s: Column) -> Column:
+        digits = F.regexp_extract(s, r"^-?([0-9.]+)E", 1)
+        parts = F.struct(
+            F.regexp_replace(F.regexp_replace(digits, r"\.0$", ""), r"\.", "").alias("bare"),
+            (F.instr(digits, ".") - 1 + F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")).alias("before"),
+            F.when(s.startswith("-"), "-").otherwise("").alias("sign"),
+        )
+        return let(parts, placed)
+
+    def placed(p: Column) -> Column:
+        bare, before = p["bare"], p["before"]  # digits, and how many of them are before the point
+        out = F.when(before <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -before), bare)).when(before >= F.length(bare), F.rpad(bare, before, "0"))
+        return F.concat(p["sign"], out.otherwise(F.concat(F.substring(bare, F.lit(1), before), F.lit("."), F.substring(bare, before + 1, F.length(bare)))))
+
     s = x.cast("string")
-    sign = F.when(s.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(s, "^-", "")
-    digits = F.regexp_replace(F.regexp_extract(body, r"^([0-9.]+)", 1), r"\.0$", "")
-    point = F.instr(digits, ".")
-    exp = F.coalesce(F.nullif(F.regexp_extract(body, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    bare = F.regexp_replace(digits, r"\.", "")
-    before = F.when(point > 0, point - 1).otherwise(F.length(digits)) + exp  # digits before the point
-    size = F.length(bare)
-    plain = F.when(before <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -before), bare)).when(before >= size, F.rpad(bare, before, "0")).otherwise(F.concat(F.substring(bare, F.lit(1), before), F.lit("."), F.substring(bare, before + 1, size)))
-    plain = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")).otherwise(plain)
-    return F.when(s == "NaN", "NaN").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").when(x == 0, F.concat(sign, F.lit("0"))).otherwise(F.concat(sign, plain))
+    simple = F.when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(F.regexp_replace(s, r"\.0$", ""))
+    return F.when(s.contains("E"), plain(F.regexp_replace(s, "^(-?[0-9]+)E", "$1.0E"))).otherwise(simple)
 
 
 def fraction(us: Column) -> Column:
@@ -36,12 +47,17 @@ def time_text(t: Column) -> Column:
 
 
 def duration_text(d: Column) -> Column:
-    n = micros(d)
-    sign, n = F.when(n < 0, "-").otherwise(""), F.abs(n)
-    h, m, s = _DIV(n, 3_600_000_000), _DIV(n, 60_000_000) % 60, _DIV(n, 1_000_000) % 60
-    long = F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(""), F.when((h > 0) | (m > 0), F.concat(m.cast("string"), F.lit("m"))).otherwise(""), s.cast("string"), fraction(n % 1_000_000), F.lit("s"))
-    ms = F.concat(_DIV(n, 1000).cast("string"), F.when(n % 1000 == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad((n % 1000).cast("string"), 3, "0"), "0+$", ""))), F.lit("ms"))
-    return F.concat(sign, F.when(n == 0, "0s").when(n >= 1_000_000, long).when(n >= 1000, ms).otherwise(F.concat(n.cast("string"), F.lit("µs"))))
+    """Hours, minutes and seconds, or milliseconds or microseconds alone."""
+
+    def said(n: Column) -> Column:
+        h, m, sec = _DIV(n, 3_600_000_000), _DIV(n, 60_000_000) % 60, _DIV(n, 1_000_000) % 60
+        hours = F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise("")
+        minutes = F.when(n >= 60_000_000, F.concat(m.cast("string"), F.lit("m"))).otherwise("")
+        ms = F.concat(_DIV(n, 1000).cast("string"), F.when(n % 1000 == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad((n % 1000).cast("string"), 3, "0"), "0+$", ""))), F.lit("ms"))
+        long = F.concat(hours, minutes, sec.cast("string"), fraction(n % 1_000_000), F.lit("s"))
+        return F.when(n == 0, "0s").when(n >= 1_000_000, long).when(n >= 1000, ms).otherwise(F.concat(n.cast("string"), F.lit("µs")))
+
+    return let(micros(d), lambda n: F.concat(F.when(n < 0, "-").otherwise(""), let(F.abs(n), said)))
 
 
 def shown(c: Column, k: Kind, inner: bool = False) -> Column:
