@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hornspark.kinds import BOT, Kind, adapted, equal, literal, of_spark, unify
 from hornspark.lang.packages import combined
 from hornspark.lang.parser import parse_atom, parse_unit
-from hornspark.lang.syntax import Atom, Call, Clause, Const, LanguageError, Not, Term, Unit, Var, variables
+from hornspark.lang.syntax import Atom, Call, Clause, Const, LanguageError, Not, Term, Unit, Var
 from hornspark.operators.relation import Relation, empty, minus, of_rows, union
 from hornspark.operators.rules import evaluate
 from hornspark.operators.temporal import coalesce
 from hornspark.plans.bounds import Bounds
 from hornspark.plans.fixpoint import solve
 from hornspark.plans.stratify import Stratum, reachable, strata
-from hornspark.values import constant, kind_of, term
+from hornspark.values import constant, key, kind_of, once, term
 
 
 class Engine:
@@ -112,15 +112,16 @@ class Program:
             facts = [c for c in self.unit.clauses if c.head.name == name and not c.body]
             if len(facts) != sum(c.head.name == name for c in self.unit.clauses):
                 raise LanguageError(f"{name} is derived; only stated facts can be changed")
-            stated = {tuple(map(constant, c.head.terms)): c for c in facts if not any(variables(t) for t in c.head.terms)} if not add else {}
-            gone = [c for k, c in stated.items() if k in {tuple(x) for x in rows}]
+            out = set() if add else set(map(key, rows))
+            gone = [c for c in facts if self._constant(c) and key(tuple(map(constant, c.head.terms))) in out]
             new = [Clause(Atom(name, tuple(map(term, x)))) for x in rows] if add else []
             self.unit = replace(self.unit, clauses=tuple(c for c in self.unit.clauses if c not in gone) + tuple(new))
         elif name in self.outside:
             now = self.outside[name]
             if now.local is not None and r.local is not None and now.kinds == r.kinds:
-                own = [x for x in now.local if add or x not in set(r.local)]
-                self.outside[name] = of_rows(self.spark, list(dict.fromkeys([*own, *r.local])) if add else own, r.kinds)
+                gone = set() if add else set(map(key, r.local))
+                own = [x for x in now.local if key(x) not in gone]
+                self.outside[name] = of_rows(self.spark, once([*own, *r.local]) if add else own, r.kinds)
             else:
                 self.outside[name] = union([now, r]) if add else minus(now, r)
         elif add:
@@ -196,11 +197,7 @@ class Program:
             for r in rows:
                 self.bounds.check_fact(name, r)
         kinds = tuple(reduce(unify, (kind_of(r[i]) for r in rows), BOT) for i in range(len(rows[0])))
-        try:
-            rows = list(dict.fromkeys(rows))
-        except TypeError:  # compounds that Python cannot hash
-            return of_rows(self.spark, rows, kinds)
-        return replace(of_rows(self.spark, rows, kinds), distinct=True)
+        return replace(of_rows(self.spark, once(rows), kinds), distinct=True)
 
     def _outside(self, name: str, width: int) -> Relation:
         if name in self.outside:

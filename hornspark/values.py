@@ -181,6 +181,15 @@ def term(v: object) -> Term:
             return Const(k, str(v) if k in ("string", "name") else v)
 
 
+def key(row: tuple) -> tuple:
+    """Rows are the same if these are: Python takes 1 for 1.0, and a name for the string of the same text."""
+    return tuple((kind_of(v), v if v is None or getattr(v, "__hash__", None) and not isinstance(v, tuple) else repr(v)) for v in row)
+
+
+def once(rows: list[tuple]) -> list[tuple]:
+    return list({key(r): r for r in rows}.values())
+
+
 def rows_frame(spark, rows: list[tuple], kinds: list[Kind]):
     """Rows of Python values as a DataFrame with columns c0, c1, ..."""
     from pyspark.sql import types as T
@@ -203,4 +212,4 @@ def micros_time(us: int | None) -> dt.datetime | None:
     return BEGINNING if us == -_LIMIT else FOREVER if us == _LIMIT else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
 
 
-__all__ = ["ANY", "BEGINNING", "FOREVER", "Entries", "Name", "Pair", "micros_time", "constant", "kind_of", "python_value", "rows_frame", "spark_value", "time_micros", "term"]
+__all__ = ["ANY", "BEGINNING", "FOREVER", "Entries", "Name", "Pair", "micros_time", "constant", "key", "kind_of", "once", "python_value", "rows_frame", "spark_value", "time_micros", "term"]
