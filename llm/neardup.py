@@ -5,12 +5,16 @@
 2. Every tree of the forest orders the classes by the signature, read from another coordinate on. A region is a run of
    classes with a common prefix. Regions start at `depth` coordinates. A small one is compared in full: these are all its
    longest-common-prefix neighbours. A larger one is divided by deeper prefixes until its parts are small; at every depth
-   each member is compared with the member that agrees with most of the others (the hub), and with its neighbours in
-   sorted order. Members not confirmed against any hub of theirs are looked at again among themselves, with new hubs,
-   until none of the large regions holds two of them that no pass has compared.
+   each member is compared with the hub, the member that agrees with most of the others, and with its neighbours in
+   sorted order. A region too large for one task is dealt into chunks, whose hubs are compared with each other and the
+   best of them with all members.
 3. Candidate pairs are confirmed on the full sets, made anew from the texts. The pairs of one document are dealt in
    chunks, so a hub with very many partners is no hot key.
 4. Confirmed links are contracted to components by alternating large-star and small-star steps.
+5. So far a larger region was not compared in full. Now each of its members outside its largest component is compared
+   with all members of other components whose labels agree as often as those of linked documents do, and steps 3 and 4
+   are taken again. So a link is missed only if no tree has both ends in one region (for a similarity of 0.85 fewer than
+   one in 100,000) or their signatures agree less than is likely by more than four standard deviations.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ U = np.uint64
 COORDINATES, TREES, DEPTH = 64, 16, 4
 #: Coordinates that a tree can read: the deepest prefix.
 DEEPEST = 16
-#: Members of a region that are compared in full.
-SMALL = 32
+#: Members of a region that are compared in full, and that one task compares.
+SMALL, LARGE = 32, 2000
 #: Pairs confirmed in one chunk with the set of their common document.
 CHUNK = 64
 
@@ -108,34 +112,33 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "sig").mapInArrow(grow, "region long, rep long, n long, label binary")
 
 
-def _pairs_of(label: np.ndarray, rep: np.ndarray, n: np.ndarray, ratio: float) -> list[tuple[int, int]]:
+def _hub(label: np.ndarray, rep: np.ndarray) -> int:
+    """The member whose coordinates agree with most others; the smallest of several."""
+    agree = np.zeros(len(rep), np.int64)
+    for c in range(label.shape[1]):
+        _, which, times = np.unique(label[:, c], return_inverse=True, return_counts=True)
+        agree += times[which]
+    return int(np.lexsort((rep, -agree))[0])
+
+
+def _pairs_of(label: np.ndarray, rep: np.ndarray, n: np.ndarray, ratio: float, small: int) -> list[tuple[int, int]]:
     """Candidates (hub, other) within one region, as indexes. label: a row for each member."""
     out: list[tuple[int, int]] = []
 
     def may(a, b):
         return np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b])
 
-    def full(idx):
-        for k in range(len(idx) - 1):
-            rest = idx[k + 1 :]
-            out.extend((int(idx[k]), int(x)) for x in rest[may(idx[k], rest)])
-
-    def star(idx):
-        agree = np.zeros(len(idx), np.int64)
-        for c in range(label.shape[1]):
-            _, which, times = np.unique(label[idx, c], return_inverse=True, return_counts=True)
-            agree += times[which]
-        hub = idx[np.lexsort((rep[idx], -agree))[0]]
-        rest = idx[idx != hub]
-        out.extend((int(hub), int(x)) for x in rest[may(hub, rest)])
-
     stack = [(np.lexsort((rep, *label.T[::-1])), DEPTH)]
     while stack:
         idx, depth = stack.pop()
-        if len(idx) <= SMALL:
-            full(idx)
+        if len(idx) <= small:
+            for k in range(len(idx) - 1):
+                rest = idx[k + 1 :]
+                out.extend((int(idx[k]), int(x)) for x in rest[may(idx[k], rest)])
             continue
-        star(idx)
+        hub = idx[_hub(label[idx], rep[idx])]
+        rest = idx[idx != hub]
+        out.extend((int(hub), int(x)) for x in rest[may(hub, rest)])
         ok = may(idx[:-1], idx[1:])
         out.extend((int(a), int(b)) for a, b in zip(idx[:-1][ok], idx[1:][ok], strict=True))
         if depth < label.shape[1]:
@@ -144,46 +147,117 @@ def _pairs_of(label: np.ndarray, rep: np.ndarray, n: np.ndarray, ratio: float) -
     return out
 
 
-def candidates(trees: DataFrame, ratio: float) -> DataFrame:
-    """Distinct pairs hub, other of class representatives from all regions of all trees."""
-    parts = partitions(trees.sparkSession)
-    sizes = trees.groupBy("region").count().where("count > 1")
-    alive = trees.join(sizes.select("region"), "region", "left_semi")
+def _labels(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(len(column), -1)
+
+
+def _by_key(found, columns: tuple[str, ...], schema: str, names: list[str]):
+    """For mapInArrow over rows sorted by the first columns: call found with the table of each key, batch or not."""
+    types = [pa.int64(), pa.int64(), pa.bool_()][: len(names)]
 
     def scan(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(done):
             t = pa.Table.from_batches(done)
-            region = t.column("region").to_numpy()
-            rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-            label = np.frombuffer(b"".join(t.column("label").to_pylist()), ">u2").reshape(len(t), -1)
-            got = []
-            edge = np.concatenate(([0], np.flatnonzero(region[1:] != region[:-1]) + 1, [len(region)]))
+            keys = [t.column(c).to_numpy() for c in columns]
+            new = np.zeros(len(t), bool)
+            new[0] = True
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            edge = np.append(np.flatnonzero(new), len(t))
+            rows: set[tuple] = set()
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if b - a > 1:
-                    got += [(rep[a + x], rep[a + y]) for x, y in _pairs_of(label[a:b], rep[a:b], n[a:b], ratio)]
-            # a pair keeps one direction; within large regions the hub comes first
-            pairs = np.array(sorted(set(got)), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["hub", "other"])
+                rows.update(found(t.slice(a, b - a)))
+            cols = zip(*sorted(rows), strict=True) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names)
 
         for batch in batches:
+            if not len(batch):
+                continue
             held.append(batch)
-            if len(batch):
-                region = batch.column(0).to_numpy()
-                cut = int(np.searchsorted(region != region[-1], False)) if region[0] != region[-1] else 0
-                cut = int(np.flatnonzero(region != region[-1])[-1]) + 1 if region[0] != region[-1] else 0
-                if cut:
-                    yield flush([*held[:-1], batch.slice(0, cut)])
-                    held = [batch.slice(cut)]
+            last = np.ones(len(batch), bool)
+            for c in columns:
+                k = batch.column(batch.schema.get_field_index(c)).to_numpy()
+                last &= k == k[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield flush([*held[:-1], batch.slice(0, cut)])
+                held = [batch.slice(cut)]
         if held:
             yield flush(held)
 
-    found = alive.repartition(parts, "region").sortWithinPartitions("region").select("region", "rep", "n", "label").mapInArrow(scan, "hub long, other long")
-    both = found.select("hub", "other", F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
+    return scan, schema
+
+
+def candidates(trees: DataFrame, regions: DataFrame, ratio: float, small: int, large: int) -> DataFrame:
+    """Distinct pairs hub, other of class representatives from all regions (region, count) of all trees."""
+    parts = partitions(trees.sparkSession)
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("count") / large)).cast("int")
+    alive = trees.join(regions.select("region", chunks.alias("chunks")), "region").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+
+    def pairs(t: pa.Table):
+        rep, n, label = t.column("rep").to_numpy(), t.column("n").to_numpy(), _labels(t.column("label"))
+        got = {(int(rep[x]), int(rep[y]), False) for x, y in _pairs_of(label, rep, n, ratio, small)} if len(t) > 1 else set()
+        if t.column("chunks")[0].as_py() > 1:  # the hub of a chunk, with its region
+            got.add((t.column("region")[0].as_py(), int(rep[_hub(label, rep)]), True))
+        return got
+
+    scan, schema = _by_key(pairs, ("region", "chunk"), "hub long, other long, of_chunk boolean", ["hub", "other", "of_chunk"])
+    rows = alive.repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk").select("region", "chunk", "chunks", "rep", "n", "label")
+    found = saved(rows.mapInArrow(scan, schema), "candidates")
+    plain = found.where("not of_chunk").select("hub", "other")
+    # regions of several chunks: the chunks' hubs with each other's best, and that one with all members
+    hubs = found.where("of_chunk").select(F.col("hub").alias("region"), F.col("other").alias("rep"))
+    hubs = trees.join(hubs, ["region", "rep"])
+
+    def best(t: pa.Table):
+        rep = t.column("rep").to_numpy()
+        hub = int(rep[_hub(_labels(t.column("label")), rep)])
+        return {(t.column("region")[0].as_py(), hub)}
+
+    scan, schema = _by_key(best, ("region",), "region long, hub long", ["region", "hub"])
+    top = hubs.repartition(parts, "region").sortWithinPartitions("region").select("region", "rep", "label").mapInArrow(scan, schema)
+    stars = trees.select("region", "rep").join(F.broadcast(top), "region").where("rep != hub").select("hub", F.col("rep").alias("other"))
+    return once(plain.unionByName(stars))
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair in one direction."""
+    both = pairs.select("hub", "other", F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
     return both.groupBy("lo", "hi").agg(F.min("hub").alias("hub")).select("hub", (F.col("lo") + F.col("hi") - F.col("hub")).alias("other"))
 
 
+def left_over(trees: DataFrame, regions: DataFrame, label: DataFrame, ratio: float, large: int) -> DataFrame:
+    """Pairs of members of one of these regions that are in different components, and whose labels agree enough.
+
+    Every such pair has an end outside the region's largest component; these few are sent to all chunks of the region.
+    """
+    parts = partitions(trees.sparkSession)
+    least = int(np.floor(DEEPEST * ratio - 4 * np.sqrt(DEEPEST * ratio * (1 - ratio))))
+    rows = trees.join(regions.select("region", F.ceil(F.col("count") / large).cast("int").alias("chunks")), "region")
+    rows = rows.join(label, rows["rep"] == label["node"], "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
+    by = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = by.groupBy("region").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("several")).where("several > 1").select("region", F.col("m.component").alias("main"))
+    rows = rows.join(main, "region")
+    members = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(False))
+    probes = rows.where("component != main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(True))
+    both = members.unionByName(probes).repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk", F.desc("probe")).select("region", "chunk", "probe", "rep", "n", "component", "label")
+
+    def cross(t: pa.Table):
+        probe = np.asarray(t.column("probe"))
+        rep, n, comp, lab = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy(), _labels(t.column("label"))
+        out, member = set(), ~probe
+        for i in np.flatnonzero(probe):
+            ok = member & (comp != comp[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
+            ok[ok] = (lab[ok] == lab[i]).sum(axis=1) >= least
+            out.update((int(rep[i]), int(x)) for x in rep[ok])
+        return out
+
+    scan, schema = _by_key(cross, ("region", "chunk"), "hub long, other long", ["hub", "other"])
+    return once(both.mapInArrow(scan, schema))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets have 100 * intersection >= percent * union. docs: rep and text of all classes in pairs."""
     parts = partitions(pairs.sparkSession)
@@ -229,7 +303,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", small: int = SMALL, large: int = LARGE) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
     Two documents are linked if their sets of n-word shingles have a Jaccard similarity of percent / 100 or more; a text
@@ -243,12 +317,26 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     classes = saved(
         meta.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("size")), "classes"
     )
-    pairs = saved(candidates(forest(classes), percent / 100), "pairs")
-    ids = pairs.select(F.col("hub").alias("doc_id")).unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct()
-    ids = saved(ids, "ids")
-    few = ids.count() <= BROADCAST_ROWS
-    texts = own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    label = components(confirmed(pairs, texts, n, percent))
+    ratio = percent / 100
+    trees = forest(classes)
+    regions = saved(trees.groupBy("region").count().where("count > 1"), "regions")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        ids = saved(pairs.select(F.col("hub").alias("doc_id")).unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct(), "ids")
+        few = ids.count() <= BROADCAST_ROWS
+        texts = own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+        return saved(confirmed(pairs, texts, n, percent), "confirmed")
+
+    pairs = saved(candidates(trees, regions, ratio, small, large), "pairs")
+    found = links(pairs)
+    label = saved(components(found), "components")
+    wide = saved(regions.where(F.col("count") > small), "wide")
+    if not wide.isEmpty():
+        tried = pairs.select(F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
+        more = left_over(trees, wide, label, ratio, large).select("hub", "other", F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
+        more = saved(more.join(tried, ["lo", "hi"], "left_anti").select("hub", "other"), "left-over")
+        if not more.isEmpty():
+            label = components(found.unionByName(links(more)))
     named = classes.join(label, classes["rep"] == label["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"), "size")
     named = saved(named, "named")
     known = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
