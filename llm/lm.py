@@ -337,7 +337,7 @@ def log_probabilities(reader: Reader, h: np.ndarray, first: np.ndarray):
     kinds, which = np.unique(np.concatenate((ctx, tok)), return_inverse=True)
     info = reader.words(kinds)
     a, total = info[5].astype(float), info[1].astype(float)
-    p1 = (np.maximum(a - _discount(info[5], m.word_discount), 0) / m.bigrams if m.bigrams else 0) + m.word_left / (m.kinds + 1)
+    p1 = np.maximum(a - _discount(info[5], m.word_discount), 0) / max(m.bigrams, 1) + m.word_left / (m.kinds + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.where(total > 0, (m.discount[0] * info[2] + m.discount[1] * info[3] + m.discount[2] * info[4]) / total, 1.0)
         c2 = reader.bigrams(ctx >> U(16), tok >> U(16))
