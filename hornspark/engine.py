@@ -240,6 +240,22 @@ class Program:
         for n, r in got.items():
             self._done[n] = coalesce(r) if n in self.temporal and r.arity >= 2 else r
 
+    def violations(self) -> dict[str, Relation]:
+        """For each declaration with an inclusion constraint, the rows for which some atom of it does not hold."""
+        out = {}
+        for d in self.unit.decls:
+            if d.inclusion:
+                row = Atom("_row", d.atom.args)
+                bad = [Clause(row, (Atom(d.atom.name, d.atom.args), Not(a))) for a in d.inclusion]
+                parts = []
+                for c in bad:
+                    for n in (d.atom.name, c.body[1].atom.name):
+                        if n in self.heads:
+                            self.relation(n)
+                    parts.append(evaluate(self.spark, c, self._lookup(c)))
+                out[d.atom.name] = union(parts).as_set()
+        return out
+
     def query(self, atom: str | Atom) -> Relation:
         """The rows of a relation that agree with an atom's constants and repeated variables; a bare name gives all.
 
