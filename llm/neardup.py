@@ -12,8 +12,8 @@
    chunks, so a hub with very many partners is no hot key.
 4. Confirmed links are contracted to components by alternating large-star and small-star steps.
 5. So far a larger region was not compared in full. Now each of its members outside its largest component is compared
-   with all members of other components whose labels agree as often as those of linked documents do, and steps 3 and 4
-   are taken again. So a link is missed only if no tree has both ends in one region (for a similarity of 0.85 fewer than
+   with all members of other components by sketches of one bit a coordinate, which are made for such regions only; pairs
+   that agree about as often as linked documents do go through steps 3 and 4 again. So a link is missed only if no tree has both ends in one region (for a similarity of 0.85 fewer than
    one in 100,000) or their signatures agree less than is likely by more than four standard deviations.
 """
 
@@ -35,12 +35,15 @@ COORDINATES, TREES, DEPTH = 64, 16, 4
 DEEPEST = 16
 #: Members of a region that are compared in full, and that one task compares.
 SMALL, LARGE = 32, 2000
+#: Bits of the sketches by which what is left over is compared.
+BITS = 1024
 #: Pairs confirmed in one chunk with the set of their common document.
 CHUNK = 64
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | U(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
+_C = _rng.integers(1, 1 << 63, BITS, dtype=np.uint64) | U(1)
 
 
 def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -72,6 +75,16 @@ def signature(s: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """One bit of each of many more coordinates, in 64-bit words."""
+    least = np.empty(BITS, U)
+    step = max(1, (1 << 18) // max(len(s), 1))
+    for i in range(0, BITS, step):
+        x = s[None, :] * _C[i : i + step, None]
+        least[i : i + step] = (x ^ (x >> U(29))).min(axis=1)
+    return np.packbits((mix(least) >> U(63)).astype(np.uint8)).view(U)
+
+
 _META = "doc_id long, n_shingles long, digest binary, sig binary"
 
 
@@ -228,30 +241,42 @@ def once(pairs: DataFrame) -> DataFrame:
     return both.groupBy("lo", "hi").agg(F.min("hub").alias("hub")).select("hub", (F.col("lo") + F.col("hi") - F.col("hub")).alias("other"))
 
 
-def left_over(trees: DataFrame, regions: DataFrame, label: DataFrame, ratio: float, large: int) -> DataFrame:
-    """Pairs of members of one of these regions that are in different components, and whose labels agree enough.
+def left_over(trees: DataFrame, regions: DataFrame, label: DataFrame, texts_of, n: int, ratio: float, large: int) -> DataFrame:
+    """Pairs of members of one of these regions that are in different components, and whose sketches agree enough.
 
     Every such pair has an end outside the region's largest component; these few are sent to all chunks of the region.
+    texts_of gives rep and text of the classes in a table with one column, rep.
     """
     parts = partitions(trees.sparkSession)
-    least = int(np.floor(DEEPEST * ratio - 4 * np.sqrt(DEEPEST * ratio * (1 - ratio))))
-    rows = trees.join(regions.select("region", F.ceil(F.col("count") / large).cast("int").alias("chunks")), "region")
+    agree = (1 + ratio) / 2
+    least = int(np.floor(BITS * (agree - 4 * np.sqrt(agree * (1 - agree) / BITS))))
+    rows = trees.select("region", "rep", "n").join(regions.select("region", F.ceil(F.col("count") / large).cast("int").alias("chunks")), "region")
     rows = rows.join(label, rows["rep"] == label["node"], "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
     by = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("k"))
     main = by.groupBy("region").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("several")).where("several > 1").select("region", F.col("m.component").alias("main"))
-    rows = rows.join(main, "region")
+    rows = saved(rows.join(main, "region"), "left-over-rows")
+
+    def scan_texts(batches):
+        for batch in batches:
+            for i, j in pieces(batch.column(1)):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(s).tobytes() for s in shingles(part.column(1), n)], pa.binary())], ["rep", "sketch"])
+
+    sketches = texts_of(rows.select("rep").distinct()).dropDuplicates(["rep"]).select("rep", "text").mapInArrow(scan_texts, "rep long, sketch binary")
+    rows = rows.join(saved(sketches, "sketches"), "rep")
     members = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(False))
     probes = rows.where("component != main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(True))
-    both = members.unionByName(probes).repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk", F.desc("probe")).select("region", "chunk", "probe", "rep", "n", "component", "label")
+    both = members.unionByName(probes).repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk").select("region", "chunk", "probe", "rep", "n", "component", "sketch")
 
     def cross(t: pa.Table):
         probe = np.asarray(t.column("probe"))
-        rep, n, comp, lab = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy(), _labels(t.column("label"))
+        rep, size, comp = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U).reshape(len(t), -1)
         out, member = set(), ~probe
         for i in np.flatnonzero(probe):
-            ok = member & (comp != comp[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
-            ok[ok] = (lab[ok] == lab[i]).sum(axis=1) >= least
-            out.update((int(rep[i]), int(x)) for x in rep[ok])
+            ok = np.flatnonzero(member & (comp != comp[i]) & (np.minimum(size, size[i]) >= ratio * np.maximum(size, size[i])))
+            near = BITS - np.bitwise_count(bits[ok] ^ bits[i]).sum(axis=1, dtype=np.int64) >= least
+            out.update((int(rep[i]), int(x)) for x in rep[ok[near]])
         return out
 
     scan, schema = _by_key(cross, ("region", "chunk"), "hub long, other long", ["hub", "other"])
@@ -321,11 +346,15 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     trees = forest(classes)
     regions = saved(trees.groupBy("region").count().where("count > 1"), "regions")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        ids = saved(pairs.select(F.col("hub").alias("doc_id")).unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct(), "ids")
+    def texts_of(reps: DataFrame) -> DataFrame:
+        ids = saved(reps, "ids")
         few = ids.count() <= BROADCAST_ROWS
-        texts = own.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-        return saved(confirmed(pairs, texts, n, percent), "confirmed")
+        mine = own.withColumnRenamed("doc_id", "rep")
+        return mine.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        reps = pairs.select(F.col("hub").alias("rep")).unionByName(pairs.select(F.col("other").alias("rep"))).distinct()
+        return saved(confirmed(pairs, texts_of(reps), n, percent), "confirmed")
 
     pairs = saved(candidates(trees, regions, ratio, small, large), "pairs")
     found = links(pairs)
@@ -333,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     wide = saved(regions.where(F.col("count") > small), "wide")
     if not wide.isEmpty():
         tried = pairs.select(F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
-        more = left_over(trees, wide, label, ratio, large).select("hub", "other", F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
+        more = left_over(trees, wide, label, texts_of, n, ratio, large).select("hub", "other", F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
         more = saved(more.join(tried, ["lo", "hi"], "left_anti").select("hub", "other"), "left-over")
         if not more.isEmpty():
             label = components(found.unionByName(links(more)))
