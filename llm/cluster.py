@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A group with at least this share of all rows is hot; there are at most 1 / HOT_SHARE such groups.
 HOT_SHARE = 1 / 1000
+#: Rows in a batch for Python, where the session does not say otherwise.
+BATCH = 1000
 #: Rows that a table may have to be broadcast; a row here is an id or a hash with a few numbers.
 BROADCAST_ROWS = 400_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the Python workers, once for each Spark context; they need not have it installed."""
+    """Send this subpackage to the Python workers, once for each Spark context, which need not have it installed; and bound
+    the batches that they get."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        # whole texts go to Python; batches of Spark's default length would be large
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     sc = spark.sparkContext
     if getattr(sc, "_llm_shipped", False):
         return

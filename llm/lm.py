@@ -38,7 +38,7 @@ U = np.uint64
 #: The end of a text, a token, and its start, a context only. Words' hashes come from a bijection of other values.
 END, START = U(0xE0D0_0000_51F1_7A3B), U(0x57A2_0000_9C4D_11E5)
 #: Bigrams that a task holds before it counts and sends them.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Owners among which the successors of one context are dealt.
 SPREAD = 8
 
@@ -186,7 +186,7 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 def train(docs: DataFrame, *, text: str = "text", where: Column | None = None) -> Model:
     """Count all texts (of the rows that where holds for). Null texts are empty: a start and an end."""
     spark = docs.sparkSession
-    layout = Layout(max(1, partitions(spark) // SPREAD * SPREAD) if partitions(spark) >= SPREAD else partitions(spark))
+    layout = Layout(max(1, 2 * partitions(spark) // SPREAD) * SPREAD)
     files = Files(f"{_qualified(spark, shared_dir(spark))}/lm-{uuid.uuid4().hex}")
 
     def count(batches):
@@ -233,9 +233,13 @@ def train(docs: DataFrame, *, text: str = "text", where: Column | None = None) -
         ctx = np.concatenate([np.repeat(_unplanes(x, 6), _unplanes(r, 4).astype(np.int64)) for x, r in zip(cols["ctx"], cols["runs"], strict=True)])
         del cols
         full = bigram_key(ctx, tok)
-        keys, at = np.unique(full, return_index=True)
-        _, c = _summed(full, counts)
-        ctx, tok = ctx[at], tok[at]
+        order = np.argsort(full)
+        keys = full[order]
+        del full
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, c, order = keys[at], np.add.reduceat(counts[order], at), order[at]
+        ctx, tok = ctx[order], tok[order]
+        del order, counts
         big = np.flatnonzero(c >= 255)
         files.put(f"bigram-{o}", np.array([len(keys), len(big)], np.int64).tobytes() + keys.tobytes() + big.astype(np.int64).tobytes() + c[big].tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes())
         rows = []

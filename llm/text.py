@@ -13,7 +13,7 @@ import pyarrow as pa
 U = np.uint64
 _WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed at once; a longer text is a piece of its own.
-PIECE = 2 << 20
+PIECE = 512 << 10
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _VALUE = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | U(1)
