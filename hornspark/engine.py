@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hornspark.kinds import BOT, Kind, adapted, equal, literal, of_spark, unify
 from hornspark.lang.packages import combined
 from hornspark.lang.parser import parse_atom, parse_unit
-from hornspark.lang.syntax import Atom, Call, Clause, Const, LanguageError, Not, Term, Unit, Var
+from hornspark.lang.syntax import Atom, Call, Clause, Compare, Const, LanguageError, Not, Term, Unit, Var
 from hornspark.operators.relation import Relation, empty, minus, of_rows, union
 from hornspark.operators.rules import evaluate
 from hornspark.operators.temporal import coalesce
@@ -240,6 +240,29 @@ class Program:
         for n, r in got.items():
             self._done[n] = coalesce(r) if n in self.temporal and r.arity >= 2 else r
 
+    def _demanded(self, a: Atom) -> Relation | None:
+        """For a query with constants on a recursive relation: only the rows that the constants ask for, where they are at
+        places that every recursive rule hands on unchanged, so that the base rules alone need the filter."""
+        s = next((s for s in self.strata if a.name in s.names), None)
+        if s is None or not s.recursive or len(s.names) > 1 or a.name in self._done or a.name in self.temporal:
+            return None
+        rules = [c for c in self.unit.clauses if c.head.name == a.name]
+        inner = {c: [p for p in c.body if isinstance(p, Atom) and p.name == a.name] for c in rules}
+        places = [i for i, t in enumerate(a.terms) if isinstance(t, Const)]
+        places = [i for i in places if all(len(ps) == 1 and len(ps[0].terms) == len(a.terms) == len(c.head.terms) and isinstance(c.head.terms[i], Var) and ps[0].terms[i] == c.head.terms[i] for c, ps in inner.items() if ps)]
+        if not places:
+            return None
+        for name in reachable(self.unit.clauses, {a.name}) - {a.name}:
+            if name in self.heads:
+                self.relation(name)
+        only = Program(self.engine, [], max_rounds=self.max_rounds, small=self.small, check_bounds=self.check_bounds)
+        only.outside = {n: r for n, r in self.outside.items()} | {n: r for n, r in self._done.items()}
+        asked = [replace(c, body=(*c.body, *(Compare("=", c.head.terms[i], a.terms[i]) for i in places))) if not inner[c] and not (not c.body and self._constant(c)) else c for c in rules]
+        asked = [c for c in asked if c.body or not self._constant(c) or all(key((constant(c.head.terms[i]),)) == key((constant(a.terms[i]),)) for i in places)]
+        only.unit = Unit(tuple(asked), tuple(d for d in self.unit.decls if d.atom.name == a.name))
+        only.strata, only.heads, only.arity = strata(only.unit.clauses), {a.name} & {c.head.name for c in asked}, self.arity
+        return only.relation(a.name) if only.heads else None
+
     def violations(self) -> dict[str, Relation]:
         """For each declaration with an inclusion constraint, the rows for which some atom of it does not hold."""
         out = {}
@@ -262,7 +285,7 @@ class Program:
         The filter goes into the plan of the relation, so Catalyst takes it down through rules that are not recursive.
         """
         a = parse_atom(atom) if isinstance(atom, str) else atom
-        r = self.relation(a.name)
+        r = self._demanded(a) or self.relation(a.name)
         if not a.terms:
             return r
         if len(a.terms) != r.arity:

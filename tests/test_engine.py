@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hornspark import Engine, LanguageError, Name, derive
 from hornspark.engine import from_frame
+from hornspark.lang.parser import parse_atom
 from hornspark.values import BEGINNING, FOREVER
 
 T = dt.datetime
@@ -172,6 +173,18 @@ def test_queries(spark):
     assert p.query("r").facts() == {(1, "a"), (2, "b"), (3, "a")}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_constants_reach_into_recursion(spark, small):
+    source = "e(X, Y) :- f(X, Y). r(X, Y) :- e(X, Y). r(X, Z) :- r(X, Y), e(Y, Z). r(90, 91). r(91, 92). s(X, Y) :- e(X, Y). s(X, Z) :- s(X, Y), s(Y, Z)."
+    facts = {"f": [(i, i + 1) for i in range(6)]}
+    p = Engine(spark).program(source, facts=facts, small=small)
+    got = p._demanded(parse_atom("r(3, X)"))
+    assert got.facts() == {(3, 4), (3, 5), (3, 6)}
+    assert p._demanded(parse_atom("r(X, 3)")) is None and p._demanded(parse_atom("s(3, X)")) is None
+    for atom, want in (("r(3, X)", {(3, 4), (3, 5), (3, 6)}), ("r(4, 6)", {(4, 6)}), ("r(90, X)", {(90, 91)}), ("r(77, X)", set()), ("r(X, 2)", {(0, 2), (1, 2)}), ("s(4, X)", {(4, 5), (4, 6)}), ("r(5, X)", {(5, 6)})):
+        assert p.query(atom).facts() == want
+
+
 def test_insert_and_retract(spark):
     p = Engine(spark).program("q(X) :- p(X), !gone(X). base(1). d(X) :- base(X).", facts={"p": [(1,), (2,)]})
     assert p.relation("q").facts() == {(1,), (2,)}
