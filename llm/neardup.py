@@ -103,9 +103,20 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, _META)
 
 
+def orders(sig: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each tree the labels (coordinates that it reads, in its order) and regions (hashes of the shortest prefixes)."""
+    out = []
+    for t in range(TREES):
+        label = sig[:, (np.arange(DEEPEST) + t * (COORDINATES // TREES)) % COORDINATES]
+        region = np.full(len(sig), U(t + 1))
+        for d in range(DEPTH):
+            region = mix(region ^ label[:, d])
+        out.append((label, region))
+    return out
+
+
 def forest(classes: DataFrame) -> DataFrame:
     """tree, region (hash of the shortest prefix), rep, n and label (the coordinates that the tree reads) of each class."""
-    step = COORDINATES // TREES
 
     def grow(batches):
         for batch in batches:
@@ -113,12 +124,7 @@ def forest(classes: DataFrame) -> DataFrame:
             if not m:
                 continue
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), U).reshape(m, COORDINATES)
-            for t in range(TREES):
-                order = (np.arange(DEEPEST) + t * step) % COORDINATES
-                label = sig[:, order]
-                region = np.full(m, U(t + 1))
-                for d in range(DEPTH):
-                    region = mix(region ^ label[:, d])
+            for label, region in orders(sig):
                 brief = np.ascontiguousarray((label >> U(48)).astype(">u2"))
                 yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(0), batch.column(1), pa.array([r.tobytes() for r in brief], pa.binary())], ["region", "rep", "n", "label"])
 
@@ -260,7 +266,10 @@ def left_over(trees: DataFrame, regions: DataFrame, label: DataFrame, texts_of,
         for batch in batches:
             for i, j in pieces(batch.column(1)):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(s).tobytes() for s in shingles(part.column(1), n)], pa.binary())], ["rep", "sketch"])
+                sets = [s if len(s) else np.zeros(1, U) for s in shingles(part.column(1), n)]
+                places = np.stack([r for _, r in orders(np.stack([signature(s) for s in sets]))], axis=1)
+                data = [sketch(s).tobytes() + p.tobytes() for s, p in zip(sets, places, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["rep", "sketch"])
 
     sketches = texts_of(rows.select("rep").distinct()).dropDuplicates(["rep"]).select("rep", "text").mapInArrow(scan_texts, "rep long, sketch binary")
     rows = rows.join(saved(sketches, "sketches"), "rep")
@@ -271,12 +280,17 @@ def left_over(trees: DataFrame, regions: DataFrame, label: DataFrame, texts_of,
     def cross(t: pa.Table):
         probe = np.asarray(t.column("probe"))
         rep, size, comp = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("component").to_numpy()
-        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U).reshape(len(t), -1)
+        data = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U).reshape(len(t), -1)
+        bits, places = data[:, : BITS // 64], data[:, BITS // 64 :]
+        here = np.array(t.column("region")[0].as_py(), np.int64).view(U)
         out, member = set(), ~probe
         for i in np.flatnonzero(probe):
             ok = np.flatnonzero(member & (comp != comp[i]) & (np.minimum(size, size[i]) >= ratio * np.maximum(size, size[i])))
             near = BITS - np.bitwise_count(bits[ok] ^ bits[i]).sum(axis=1, dtype=np.int64) >= least
-            out.update((int(rep[i]), int(x)) for x in rep[ok[near]])
+            ok = ok[near]
+            # a pair that several regions hold is given by the first of them
+            first = places[i][(places[ok] == places[i]).argmax(axis=1)] == here
+            out.update((int(rep[i]), int(x)) for x in rep[ok[first]])
         return out
 
     scan, schema = _by_key(cross, ("region", "chunk"), "hub long, other long", ["hub", "other"])
@@ -302,7 +316,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
                         now, own = (hub[k], chunk[k]), s
                     elif now == (hub[k], chunk[k]):
                         both = len(np.intersect1d(own, s, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(s) - both):
+                        if both and 100 * both >= percent * (len(own) + len(s) - both):
                             links.append((hub[k], other[k]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["hub", "other"])
 
