@@ -92,7 +92,7 @@ def group(body, steps: list) -> None:
         # Spark gives a row even where there is nothing to group; here there is no group then
         body.df = body.frame().agg(*cols, F.count(F.lit(1)).alias("a_rows")).where("a_rows > 0").drop("a_rows")
     body.slots = {k: body.slots[k] for k in keys} | {v: Slot(c, x.kind, x.nullable) for v, c, x in made}
-    body.distinct = True
+    body.distinct, body.telling = True, set(keys)
 
 
 __all__ = ["AGGREGATES", "group"]

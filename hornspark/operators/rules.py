@@ -53,7 +53,8 @@ class Body:
         self.df: DataFrame | None = None
         self.slots: dict[str, Slot] = {}
         self.distinct = True
-        self.never = False
+        #: Variables that tell the bindings apart: those of all atoms that are more than tests.
+        self.telling: set[str] = set()
 
     def fail(self, what: str) -> LanguageError:
         return LanguageError(f"line {self.clause.line}: {what} in {self.clause}")
@@ -177,11 +178,14 @@ class Body:
             conditions.append(F.lit(False) if same is None else same)
         if self.df is None and not conditions:
             self.df = right
+            self.telling |= set(first)
         elif not kept and not grouped:
             self.df = self.frame().join(right, reduce(lambda a, b: a & b, conditions), "left_semi") if conditions else self.frame().crossJoin(right.limit(1))
         else:
             self.df = self.frame().join(right, reduce(lambda a, b: a & b, conditions), "inner") if conditions else self.frame().crossJoin(right)
             self.df = self.df.drop(*[fresh[v] for v in shared], *calls.values())
+        if kept or grouped:
+            self.telling |= set(first)
         for v in kept:
             self.slots[v] = Slot(fresh[v], r.kinds[first[v]], r.nullable[first[v]])
 
@@ -278,7 +282,8 @@ class Body:
 
 
 def evaluate(spark: SparkSession, clause: Clause, lookup: Lookup) -> Relation:
-    """What one rule gives, as a set only where that costs nothing; callers take the distinct rows of all rules at once."""
+    """What one rule gives. It says whether it is a set already, as where the head has all variables of the body's atoms;
+    else callers take the distinct rows of all rules at once."""
     body = Body(spark, clause, lookup)
     body.build()
     steps = list(clause.steps)
@@ -292,7 +297,9 @@ def evaluate(spark: SparkSession, clause: Clause, lookup: Lookup) -> Relation:
             if head[i].kind not in (TIME, NUMBER, BOT):
                 raise body.fail(f"bounds of time are times, not {head[i].kind}")
     df = body.frame().select(*[x.col.alias(f"c{i}") for i, x in enumerate(head)])
-    return Relation(df, tuple(x.kind for x in head), tuple(x.nullable for x in head), False, clause.head.interval is not None)
+    plain = {t.name for t in clause.head.terms if isinstance(t, Var)}
+    distinct = body.distinct and body.telling <= plain
+    return Relation(df, tuple(x.kind for x in head), tuple(x.nullable for x in head), distinct, clause.head.interval is not None)
 
 
 def kinds_after(a: tuple[Kind, ...], b: tuple[Kind, ...]) -> tuple[Kind, ...]:

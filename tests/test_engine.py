@@ -48,6 +48,9 @@ CASES = {
     "existence": ("a(1). b(3). b(4). q(X) :- a(X), b(_).", {(1,)}),
     "no existence": ("a(1). q(X) :- a(X), b(_).", set()),
     "self join": ("e(1, 2). e(2, 3). q(X, Z) :- e(X, Y), e(Y, Z).", {(1, 3)}),
+    "projection of a join": ("a(1, 2). a(1, 3). b(2). b(3). q(X) :- a(X, Y), b(Y).", {(1,)}),
+    "head without a variable": ("a(1, 2). a(1, 3). q(X, 5) :- a(X, Y), Y > 1.", {(1, 5)}),
+    "group without its key": ("p(1, 2). p(2, 2). q(S) :- p(K, V) |> do fn:group_by(K); let S = fn:sum(V).", {(2,)}),
     "self comparison": ("p(1). p(2). p(3). q(X, Y) :- p(X), p(Y), X < Y.", {(1, 2), (1, 3), (2, 3)}),
     "another arity never matches": ("p(1, 2). r(X) :- p(X, _). q(X) :- r(X), X = 1.", {(1,)}),
     "call in a body atom": ("p(1). s(2). q(X) :- p(X), s(fn:plus(X, 1)).", {(1,)}),
@@ -222,14 +225,16 @@ def plan(df):
 
 def test_plans(spark, sf):
     table = lambda n: from_frame(spark.read.parquet(f"{sf}/{n}.parquet"), not_null=True, distinct=True)
-    p = Engine(spark).program("q(C) :- customer(C, _, _, _, _), !orders(_, C, _, _, _, _). j(C, N) :- customer(C, _, K, _, _), nation(K, N, _). s(C) :- customer(C, _, _, _, _), orders(_, C, _, _, _, _). f(O) :- orders(O, _, \"F\", P, _, _), P > 100.0. n(S, N) :- customer(C, _, _, _, S) |> do fn:group_by(S); let N = fn:count().", tables={n: table(n) for n in ("customer", "orders", "nation")})
+    p = Engine(spark).program("q(C) :- customer(C, _, _, _, _), !orders(_, C, _, _, _, _). j(C, N) :- customer(C, _, K, _, _), nation(K, N, _). s(C) :- customer(C, _, _, _, _), orders(_, C, _, _, _, _). f(O, C, D, P, X) :- orders(O, C, \"F\", P, D, X), P > 100.0. g(O) :- orders(O, _, \"F\", P, _, _), P > 100.0. n(S, N) :- customer(C, _, _, _, S) |> do fn:group_by(S); let N = fn:count().", tables={n: table(n) for n in ("customer", "orders", "nation")})
     assert "LeftAnti" in plan(p.relation("q").df)
     assert "LeftSemi" in plan(p.relation("s").df)
     assert "Cartesian" not in plan(p.relation("j").df) and "NestedLoop" not in plan(p.relation("j").df)
     f = plan(p.relation("f").df)
-    assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice), EqualTo(o_orderstatus,F)" in f
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in f
+    g = plan(p.relation("g").df)
+    assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_totalprice), EqualTo(o_orderstatus,F)" in g
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in g
     assert plan(p.relation("n").df).count("hashpartitioning") == 1  # keyed rows need no distinct before grouping
+    assert "Aggregate" not in f  # nor before a head that has the key
     by = p.query('j(X, "FRANCE")')
     assert "FRANCE" in plan(by.df)
 
