@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from hornspark.functions.registry import function, need, number
-from hornspark.kinds import BOT, NAME, NUMBER, STRING, Kind, Typed, convert, equal, list_of, map_of, pair_of, spark_type, struct_of, unify
+from hornspark.functions.registry import function, number
+from hornspark.kinds import BOT, NAME, NUMBER, Kind, Typed, convert, equal, list_of, map_of, pair_of, spark_type, struct_of, unify
 from hornspark.lang.syntax import LanguageError
 
 
@@ -158,5 +158,3 @@ def values(x):
         return Typed(F.array_compact(F.array(*[convert(x.col.getField(f), a, one) for f, a in zip(k.fields, k.args, strict=True)])), list_of(one))
     return Typed(F.transform(x.col, lambda e: e["value"]), list_of(k.args[1]))
 
-
-__all__ = ["STRING", "need"]

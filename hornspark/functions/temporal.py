@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from hornspark.functions.registry import double, function, need, number
-from hornspark.functions.text import fraction, time_text
+from hornspark.functions.registry import function, need, number
+from hornspark.functions.text import time_text
 from hornspark.kinds import DURATION, FLOAT, NAME, NUMBER, STRING, TIME, Typed, interval, micros
 from hornspark.lang.syntax import LanguageError
 
@@ -148,5 +148,3 @@ def duration_parse(s):
     ok = c.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?(ns|us|µs|ms|s|m|h))+$|^0$")
     return Typed(interval(F.when(ok, _DIV(total, 1000)).otherwise(F.raise_error(F.concat(F.lit("fn:duration:parse: no duration: "), c)).cast("long"))), DURATION)
 
-
-__all__ = ["FORMATS", "UNITS", "double", "fraction"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from hornspark.kinds import DURATION, FLOAT, TIME, Kind, interval, micros
+from hornspark.kinds import DURATION, TIME, Kind, interval, micros
 
 _DIV = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
 
@@ -88,4 +88,4 @@ def shown(c: Column, k: Kind, inner: bool = False) -> Column:
     return F.coalesce(out, F.lit("null"))
 
 
-__all__ = ["FLOAT", "duration_text", "float_text", "fraction", "shown", "time_text"]
+__all__ = ["duration_text", "float_text", "fraction", "shown", "time_text"]

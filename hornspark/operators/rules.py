@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hornspark.functions import apply
 from hornspark.functions.registry import need
-from hornspark.kinds import BOT, NAME, NUMBER, STRING, TIME, Kind, Typed, convert, equal, literal, ordered, unequal, unify
+from hornspark.kinds import BOT, NAME, NUMBER, STRING, TIME, Kind, Typed, equal, literal, ordered, unequal
 from hornspark.lang.syntax import Atom, Call, Clause, Compare, Const, LanguageError, Not, Premise, Term, Var, variables
 from hornspark.operators import aggregates
 from hornspark.operators.relation import Relation
@@ -302,8 +302,4 @@ def evaluate(spark: SparkSession, clause: Clause, lookup: Lookup) -> Relation:
     return Relation(df, tuple(x.kind for x in head), tuple(x.nullable for x in head), distinct, clause.head.interval is not None)
 
 
-def kinds_after(a: tuple[Kind, ...], b: tuple[Kind, ...]) -> tuple[Kind, ...]:
-    return tuple(map(unify, a, b))
-
-
-__all__ = ["Body", "Lookup", "Slot", "convert", "evaluate", "kinds_after"]
+__all__ = ["Body", "Lookup", "Slot", "evaluate"]

@@ -48,10 +48,6 @@ class Stored:
             self.paths = [*self.paths, path]
         return Relation(df, self.kinds, self.nullable, True), n
 
-    def compact(self) -> None:
-        if len(self.paths) > PARTS:
-            self.paths = [kept(self.all.df)[1]]
-
 
 def infer(spark: SparkSession, names: frozenset[str], clauses: list[Clause], known: dict[str, tuple[Kind, ...]], lookup: Lookup, arities: dict[str, int]) -> dict[str, tuple[tuple[Kind, ...], tuple[bool, ...]]]:
     """Kinds and nullability of the columns, by evaluating plans over empty relations until nothing changes."""

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from hornspark.kinds import ANY, BOT, BYTES, DURATION, FLOAT, NAME, NUMBER, STRING, TIME, Kind, list_of, map_of, pair_of, spark_type, struct_of, unify
+from hornspark.kinds import BOT, BYTES, DURATION, FLOAT, NAME, NUMBER, STRING, TIME, Kind, list_of, map_of, pair_of, spark_type, struct_of, unify
 from hornspark.lang.syntax import Call, Const, LanguageError, Term
 
 
@@ -212,4 +212,4 @@ def micros_time(us: int | None) -> dt.datetime | None:
     return BEGINNING if us == -_LIMIT else FOREVER if us == _LIMIT else dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us)
 
 
-__all__ = ["ANY", "BEGINNING", "FOREVER", "Entries", "Name", "Pair", "micros_time", "constant", "key", "kind_of", "once", "python_value", "rows_frame", "spark_value", "time_micros", "term"]
+__all__ = ["BEGINNING", "FOREVER", "Entries", "Name", "Pair", "micros_time", "constant", "key", "kind_of", "once", "python_value", "rows_frame", "spark_value", "time_micros", "term"]
