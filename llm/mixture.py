@@ -49,29 +49,36 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def multipliers(sizes: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame:
-    """source -> l. sizes: source, size, n (documents), x (size over the mean). goal: source, target, source_size."""
-    state = goal.select("source", "target", F.when(F.col("target") <= 0, -1e300).otherwise(0.0).alias("l"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), (F.col("target") <= 0).alias("done"))
-    state = saved(state, "dual")
+    """source -> l. sizes: source, size, n (documents), x (size over the mean). goal: source, target, source_size.
+
+    A step is one aggregation of words and their slope by source; sources within the tolerance take no part in the next.
+    """
     top = math.log(most)
-    for _ in range(STEPS):
-        both = sizes.join(F.broadcast(state.where("not done")), sizes["source"].eqNullSafe(state["source"])).drop(sizes["source"])
+    words_ = F.col("n") * F.col("size")
+    weight = sizes.groupBy("source").agg((F.sum(words_ * F.col("x")) / F.sum(words_)).alias("x"))
+    both = goal.alias("g").join(weight.alias("w"), F.col("g.source").eqNullSafe(F.col("w.source")), "left").select("g.source", "target", "source_size", "x")
+    # what would do if all documents had the size that a word has on average; never too low, as the exponential is convex
+    first = F.when(F.col("target") <= 0, -1e300).otherwise(F.least(F.lit(top), F.log(F.col("target") / F.col("source_size"))) / F.col("x"))
+    state = saved(both.select("source", "target", first.alias("l"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), (F.col("target") <= 0).alias("done")), "dual")
+    found = state.where("done").select("source", "l")
+    for step in range(STEPS):
+        live = state.where("not done")
+        if live.isEmpty():
+            break
+        rows = sizes.alias("h").join(F.broadcast(live).alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.*", "target", "l", "lo", "hi")
         z = F.col("l") * F.col("x")
-        rate = F.exp(F.least(z, F.lit(top)))
-        words_ = F.col("n") * F.col("size") * rate
-        step = both.groupBy("source").agg(F.sum(words_).alias("g"), F.sum(F.when(z < top, words_ * F.col("x")).otherwise(0.0)).alias("h"))
+        given = words_ * F.exp(F.least(z, F.lit(top)))
+        sums = rows.groupBy("source").agg(*[F.first(c).alias(c) for c in ("target", "l", "lo", "hi")], F.sum(given).alias("g"), F.sum(F.when(z < top, given * F.col("x")).otherwise(0.0)).alias("h"))
         off = F.col("g") - F.col("target")
-        lo, hi = F.when(off < 0, F.col("l")).otherwise(F.col("lo")), F.when(off > 0, F.col("l")).otherwise(F.col("hi"))
-        newton = F.col("l") - off / F.nullif(F.col("h"), F.lit(0.0))
-        moved = state.alias("s").join(step.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left").select("s.*", "g", "h").withColumns({"lo2": lo, "hi2": hi, "newton": newton})
-        inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("lo2")) & (F.col("newton") < F.col("hi2")) & (F.abs(F.col("newton") - F.col("l")) < 5)
+        sums = sums.withColumns({"lo": F.when(off < 0, F.col("l")).otherwise(F.col("lo")), "hi": F.when(off > 0, F.col("l")).otherwise(F.col("hi")), "newton": F.col("l") - off / F.nullif(F.col("h"), F.lit(0.0))})
+        inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi")) & (F.abs(F.col("newton") - F.col("l")) < 5)
         # beyond the bracket or far away: halve the bracket, or double outward while one side of it is open
-        wide = F.when(F.col("lo2") <= -1e4, F.least(F.col("hi2") * 2, F.col("hi2") - 1)).when(F.col("hi2") >= 1e4, F.greatest(F.col("lo2") * 2, F.col("lo2") + 1)).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        done = F.col("done") | F.coalesce(F.abs(off) <= TOLERANCE * F.col("target"), F.lit(True)) | ((F.col("hi2") - F.col("lo2")) <= 1e-13 * F.abs(F.col("l")))
-        state = saved(moved.select("source", "target", F.when(done, F.col("l")).when(inside, F.col("newton")).otherwise(wide).alias("l"), F.when(F.col("done"), F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(F.col("done"), F.col("hi")).otherwise(F.col("hi2")).alias("hi"), done.alias("done")), "dual")
-        if state.where("not done").isEmpty():
-            break
+        wide = F.when(F.col("lo") <= -1e4, F.least(F.col("hi") * 2, F.col("hi") - 1)).when(F.col("hi") >= 1e4, F.greatest(F.col("lo") * 2, F.col("lo") + 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
+        done = (F.abs(off) <= TOLERANCE * F.col("target")) | ((F.col("hi") - F.col("lo")) <= 1e-13 * F.abs(F.col("l"))) | F.lit(step == STEPS - 1)
+        state = saved(sums.select("source", "target", F.when(done, F.col("l")).when(inside, F.col("newton")).otherwise(wide).alias("l"), "lo", "hi", done.alias("done")), "dual")
+        found = found.unionByName(state.where("done").select("source", "l"))
     # rounded, so that the order in which sums were added up does not show in the copies
-    return state.select("source", F.round("l", 10).alias("l"))
+    return found.select("source", F.round("l", 10).alias("l"))
 
 
 def _round(key, table):
