@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.cluster import internal, join_hot, saved
+from llm.cluster import join_hot, saved
 from llm.text import pieces, words
 
 #: Short notices by SPDX identifier.

@@ -49,10 +49,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def mix_int(x: int) -> int:
-    return int(mix(np.array([x & (2**64 - 1)], U))[0])
-
-
 def _power(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     got = _powers.get(which)
     if got is None or len(got[0]) < n:
