@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-A notice is what stands on a line within REACH words of a word like "license". Terms are weighted by their inverse
-document frequency over the whole corpus, counted for the terms of the templates only, so the table that tasks get is as
-large as the templates. A file that is a licence file by its name, or of which at least half is a notice, gives its
-directory the licence; files without a notice of their own inherit from the nearest directory above that has one.
+All of each text is scored, across line ends: windows of a sentence's length over all words, for sentences that are long
+enough to be known without the word "license" near them, and what stands within REACH words of such a word, for all
+sentences. Terms are weighted by their inverse document frequency over the whole corpus, counted for the terms of the
+templates only, so the table that tasks get is as large as the templates. A file that is a licence file by its name, or
+of which at least half is a notice, gives its directory the licence; files without a notice of their own inherit from the
+nearest directory above that has one.
 """
 
 from __future__ import annotations
@@ -34,10 +36,16 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain under the Unlicense",
     "Proprietary": "All rights reserved. No license is granted",
 }
+#: What only reserves rights; a licence granted anywhere in the same text goes before it.
+RESERVED = "Proprietary"
 TRIGGER = re.compile(r"licen[sc]|copyright|spdx|all rights reserved", re.IGNORECASE)
 FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 #: Words on either side of the trigger; cosine from which a notice counts.
 REACH, COSINE = 12, 0.6
+#: Terms from which a sentence is looked for everywhere, not only near triggers.
+LONG = 8
+#: Without a match of this no word of a text is or belongs to a trigger, on one line or across lines.
+_HINT = re.compile(r"licen[sc]|copyright|spdx|rights", re.IGNORECASE)
 
 
 def terms(text: str) -> list[str]:
@@ -78,43 +86,87 @@ class Judge:
     def __init__(self, templates: dict[str, str], total: int, df: dict[str, int]):
         self.known = {t for _, ts in sentences(templates) for t in ts}
         self.idf = {t: float(np.log((1 + total) / (1 + df.get(t, 0))) + 1) for t in self.known}
+        self.unknown = float(np.log(1 + total) + 1)
         self.sentences = [(k, ts, sum(self.idf[t] ** 2 for t in ts) ** 0.5) for k, ts in sentences(templates)]
 
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The best template of the words near a trigger; words that no template has do not count."""
+    def scores(self, text: str) -> list[tuple[float, str]]:
+        """Cosines of the words near a trigger with the sentences; words that no template has do not count."""
         own = {t for t in terms(text) if t in self.known}
         size = sum(self.idf[t] ** 2 for t in own) ** 0.5
-        found = [(sum(self.idf[t] ** 2 for t in own & ts) / (size * n), k) for k, ts, n in self.sentences if own & ts]
-        score, name = max(found, key=lambda x: (x[0], x[1]), default=(0.0, None))
+        return [(sum(self.idf[t] ** 2 for t in own & ts) / (size * n), k) for k, ts, n in self.sentences if own & ts]
+
+    def best(self, text: str) -> tuple[str | None, float]:
+        score, name = max(self.scores(text), key=lambda x: (x[0], x[1]), default=(0.0, None))
         return name, score
 
+    def windows(self, own: list[str]) -> tuple[list[tuple[float, str]], int]:
+        """Cosines from COSINE on of all windows of half to all of a long sentence's length with it, the best for each
+        sentence, and how many words lie in such windows, up to the last that matches. Terms count as often as they
+        occur; one that no template has weighs as much as one that no document has."""
+        found, seen = [], self.known.intersection(own)
+        covered = np.zeros(len(own), bool)
+        for k, ts, n in self.sentences:
+            # by Cauchy's inequality, the cosine is at most the root of the share of n ** 2 that a window's terms have
+            need = COSINE**2 * n**2 * (1 - 1e-9)
+            if len(ts) < LONG or sum(self.idf[t] ** 2 for t in seen & ts) < need:
+                continue
+            run = np.concatenate([[0.0], np.cumsum([self.idf[t] ** 2 if t in ts else 0.0 for t in own])])
+            ends = np.minimum(np.arange(len(own)) + len(ts), len(own))
+            top = 0.0
+            for i in np.flatnonzero((np.diff(run) > 0) & (run[ends] - run[:-1] >= need)).tolist():
+                times: dict[str, int] = {}
+                dot = square = best = 0.0
+                to = last = i
+                for j in range(i, int(ends[i])):
+                    t = own[j]
+                    w, m = self.idf.get(t, self.unknown) ** 2, times.get(t, 0)
+                    times[t] = m + 1
+                    square += w * (2 * m + 1)
+                    if t in ts:
+                        dot, last = dot + w, j + 1
+                    if j + 1 - i >= (len(ts) + 1) // 2 and dot > best * n * square**0.5:
+                        best, to = dot / (n * square**0.5), last
+                if best >= COSINE:
+                    covered[i:to] = True
+                    top = max(top, best)
+            if top:
+                found.append((top, k))
+        return found, int(covered.sum())
+
+    def notice(self, text: str) -> tuple[str | None, float, float]:
+        """The template and cosine of the best notice of a text, and which share of its words are in notices."""
+        found, inside = self.windows(terms(text))
+        near = 0
+        if _HINT.search(text):
+            for line in text.split("\n"):
+                if TRIGGER.search(line):
+                    own, covered = line.split(" "), set()
+                    for i in (i for i, x in enumerate(own) if TRIGGER.search(x) or x.lower() == "rights"):
+                        lo, hi = max(0, i - REACH), min(len(own), i + REACH + 1)
+                        covered.update(range(lo, hi))
+                        found += self.scores(" ".join(own[lo:hi]))
+                    near += len(covered)
+            # the same across line ends, without what only marks comments
+            own = [x for x in text.split() if any(map(str.isalnum, x))]
+            for i, x in enumerate(own):
+                if TRIGGER.search(x) or x.lower() == "rights" and TRIGGER.search(" ".join(own[max(0, i - 1) : i + 2])):
+                    found += self.scores(" ".join(own[max(0, i - REACH) : i + REACH + 1]))
+        # sums depend on their order; rounded, equal cosines are ties
+        score, name = max(((round(s, 9), k) for s, k in found), key=lambda x: (x[0] >= COSINE and x[1] != RESERVED, x), default=(0.0, None))
+        if score < COSINE:
+            return None, score, 0.0
+        return name, score, min(1.0, max(near, inside) / max(1, len(text.split())))
+
 
 _OWN = "id long, path string, license string, cosine double, share double"
 
 
 def notices(docs: DataFrame, judge: Judge) -> DataFrame:
-    """id, path, license and cosine of the best notice of each document, and which share of its words are near triggers."""
+    """id, path, license and cosine of the best notice of each document, and which share of its words are in notices."""
 
     def scan(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            out = []
-            for t in texts:
-                name, score, near, n = None, 0.0, 0, 0
-                if t and TRIGGER.search(t):
-                    n = len(t.split())
-                    for line in t.split("\n"):
-                        if TRIGGER.search(line):
-                            own, covered = line.split(" "), set()
-                            for i in (i for i, x in enumerate(own) if TRIGGER.search(x) or x.lower() == "rights"):
-                                lo, hi = max(0, i - REACH), min(len(own), i + REACH + 1)
-                                covered.update(range(lo, hi))
-                                k, s = judge.best(" ".join(own[lo:hi]))
-                                if s > score:
-                                    name, score = k, s
-                            near += len(covered)
-                good = score >= COSINE
-                out.append((name if good else None, score, min(1.0, near / n) if good and n else 0.0))
+            out = [judge.notice(t or "") for t in batch.column(2).to_pylist()]
             cols = zip(*out, strict=True) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.float64()), strict=True)]], [x.split()[0] for x in _OWN.split(", ")])
 

@@ -298,6 +298,29 @@ def test_notices_and_inheritance(spark):
     assert licenses.scan_licenses(df.limit(0), F.col("p")).collect() == []
 
 
+WRAPPED = {
+    "MIT": "/*\n * Copyright (c) 2020 X\n *\n * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this\n * software and associated documentation files, to deal in it without restriction\n */\nint x;",
+    "BSD-3-Clause": "Copyright (c) 2020, X. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "GPL-3.0": "# This program is distributed under the terms of the GNU General\n# Public License as published by the Free Software\n# Foundation, either version 3 of the License, or any later one.",
+    "GPL-2.0": "# This program is distributed under the terms of the GNU General\n# Public License as published by the Free Software\n# Foundation, either version 2 of the License, or any later one.",
+    "Unlicense": "This is free and unencumbered\nsoftware released into the\npublic domain.\n\nAnyone is free to copy it.",
+    "Proprietary": "Copyright 2020 X. All\nrights\nreserved.",
+}
+
+
+def test_wrapped_notices(spark):
+    plain = ["the work of a day is in this with no end and by the way it was to be", "free software is a matter of the people who write it", "use of water in the town", "the right to be granted a day off is in the law", ""]
+    df = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, t in enumerate([*WRAPPED.values(), *plain * 8])], "doc_id long, p string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(df, F.col("p")).collect()}
+    assert got == dict(enumerate([*WRAPPED, *[None] * len(plain) * 8]))
+
+
+def test_a_text_without_triggers_can_be_a_licence_file(spark):
+    rows = [(0, "a/TERMS", "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this software"), (1, "a/b/x.c", "int x;")]
+    df = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    assert {r.doc_id: (r.license, r.inherited) for r in licenses.scan_licenses(df, F.col("p")).collect()} == {0: ("MIT", None), 1: (None, "MIT")}
+
+
 def test_every_template_finds_itself():
     judge = licenses.Judge(licenses.TEMPLATES, 0, {})
     for name, text in licenses.TEMPLATES.items():
