@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from llm.cluster import join_hot, saved
-from llm.text import pieces, words
 
 #: Short notices by SPDX identifier.
 TEMPLATES = {
@@ -62,19 +61,14 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str,
     """The number of documents, and of those with each of these terms, over all texts."""
 
     def count(batches):
-        keys = words(pa.array(vocabulary), "plain").hashes() if vocabulary else np.zeros(0, np.uint64)
-        order = np.argsort(keys)
-        total = np.zeros(len(keys) + 1, np.int64)
+        known = set(vocabulary)
+        total = dict.fromkeys([*vocabulary, ""], 0)
         for batch in batches:
-            for i, j in pieces(batch.column(0)):
-                w = words(batch.column(0).slice(i, j - i), "plain", lower=True)
-                h = w.hashes()
-                k = np.minimum(np.searchsorted(keys[order], h), len(keys) - 1)
-                at = np.flatnonzero(keys[order][k] == h)
-                pairs = np.unique(w.text_of()[at] * len(keys) + order[k[at]])
-                total[:-1] += np.bincount(pairs % len(keys), minlength=len(keys))
-                total[-1] += j - i
-        yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, ""]), pa.array(total)], ["term", "n"])
+            total[""] += batch.num_rows
+            for t in batch.column(0).to_pylist():
+                for x in known.intersection(terms(t or "")):
+                    total[x] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     got = {r.term: r.n for r in docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return got.pop("", 0), got
@@ -182,7 +176,7 @@ def scan_licenses(docs: DataFrame, path: Column, *, text: str = "text", doc_id:
     their own. Other columns are left aside. An empty table gives an empty result.
     """
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), path.cast("string").alias("path"), F.col(f"`{text}`").alias("text"))
-    vocabulary = sorted({t for _, ts in sentences(templates) for t in ts if re.fullmatch(r"[a-z]+", t)})
+    vocabulary = sorted({t for _, ts in sentences(templates) for t in ts})
     total, df = frequencies(own, vocabulary)
     found = notices(own, Judge(templates, total, df))
     found = saved(found.withColumn("dir", F.regexp_extract(F.coalesce("path", F.lit("")), r"^(.*)/[^/]*$", 1)).withColumn("known", F.col("path").isNotNull()), "notices")

@@ -321,6 +321,21 @@ def test_a_text_without_triggers_can_be_a_licence_file(spark):
     assert {r.doc_id: (r.license, r.inherited) for r in licenses.scan_licenses(df, F.col("p")).collect()} == {0: ("MIT", None), 1: (None, "MIT")}
 
 
+def test_frequencies_of_all_terms(spark):
+    texts = ["CC BY-SA 4.0, 4.0 and cc0", "by 4.0", "by-sa", None, "", "free-of charge 2", "Attribution-ShareAlike v2"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {"4.0": 2, "by-sa": 2, "by": 1, "cc0": 1, "free": 0, "2": 1, "attribution": 0, "attribution-sharealike": 1}
+    assert licenses.frequencies(df, list(want)) == (len(texts), want)
+    # what every document has weighs least, whatever it is made of
+    df = spark.createDataFrame([(i, "d/x", "Licensed under CC BY-SA 4.0. 3") for i in range(3)], "doc_id long, p string, text string")
+    with pytest.MonkeyPatch.context() as m:
+        seen = []
+        m.setattr(licenses, "notices", lambda own, judge: seen.append(judge) or 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            licenses.scan_licenses(df, F.col("p"))
+    assert {t: seen[0].idf[t] for t in ("cc", "by-sa", "4.0", "3")} == dict.fromkeys(("cc", "by-sa", "4.0", "3"), 1.0)
+
+
 def test_every_template_finds_itself():
     judge = licenses.Judge(licenses.TEMPLATES, 0, {})
     for name, text in licenses.TEMPLATES.items():
