@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import decontaminate, exact, language, mixture, neardup
-from llm.cluster import saved, ship
+from llm.cluster import ROW, keyed, saved, ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it: its columns and copy, from 1 on."""
     ship(spark)
-    taken = mixture.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_doc_id")
-    each = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc_id"]))
-    return each.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    names, docs = docs.columns, keyed(docs)
+    taken = mixture.mix(docs, doc_id=ROW).where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("copies").alias("_copies"))
+    return docs.join(taken, ROW).select(*[docs[c] for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -15,6 +15,8 @@ HOT_SHARE = 1 / 1000
 BATCH = 1000
 #: Rows that a table may have to be broadcast; a row here is an id or a hash with a few numbers.
 BROADCAST_ROWS = 400_000
+#: The column by which a stage tells rows apart.
+ROW = "_row"
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,6 +63,23 @@ def internal(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The column ROW added, which no two rows share: doc_id where it names one row, else a number above all ids.
+
+    Only the rows whose id is null or repeated are written, with their numbers, so that these stay as they are.
+    """
+    ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_again"))
+    ids = saved(ids, "repeated")
+    few = ids.count()
+    if not few:
+        return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+    own = docs["doc_id"].eqNullSafe(F.col("_again"))
+    ids = F.broadcast(ids) if few <= BROADCAST_ROWS else ids
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    again = saved(docs.join(ids, own, "left_semi").withColumn(ROW, F.monotonically_increasing_id() + F.lit(top + 1)), "numbered")
+    return docs.join(ids, own, "left_anti").withColumn(ROW, F.col("doc_id").cast("long")).unionByName(again)
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: str, size: str, total: int) -> DataFrame:
     """Inner join of a table with one row for each key and the number of its rows on the left in column size.
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.cluster import internal
+from llm.cluster import ROW, internal, keyed
 from llm.text import pieces, windows, words
 
 #: Windows in one broadcast: at most about 100 MB with their words.
@@ -127,9 +127,11 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 10) -> DataFrame:
-    """The documents of which no word lies in a benchmark window, all their columns as they are; null ids stay.
+    """The documents of which no word lies in a benchmark window, all their columns as they are; each row is judged by
+    itself, whether its id is null or repeated.
 
-    The ids to drop are few beside the documents; they are joined by whichever join their measured size allows.
+    The rows to drop are few beside the documents; they are joined by whichever join their measured size allows.
     """
-    bad = decontaminate(docs, benchmark, n=n).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    docs = keyed(docs)
+    bad = decontaminate(docs, benchmark, n=n, doc_id=ROW).where(F.size("spans") > 0).select(F.col("doc_id").alias(ROW))
+    return docs.join(bad, ROW, "left_anti").drop(ROW)

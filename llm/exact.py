@@ -148,6 +148,14 @@ def copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits:
 
 
 def distinct_documents(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows that copies() keeps, all their columns as they are. docs: columns doc_id and text, ids not repeated."""
-    drop = copies(docs, bits=bits).where("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """One row of each text that copies() keeps, all its columns as they are. Of rows repeated with the same id and text,
+    null ids too, one stays, whichever it is."""
+    found = saved(copies(docs, bits=bits).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "copies")
+    docs, names = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")), 256)), docs.columns
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
+    docs_left = docs.join(found.where("not kept").select("_id", "_sha").distinct(), same, "left_anti")
+    again = saved(found.where("kept").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "repeated")
+    if again.isEmpty():
+        return docs_left.select(names)
+    one = docs.join(again, same, "left_semi").dropDuplicates(["_own"])
+    return docs_left.join(again, same, "left_anti").unionByName(one).select(names)

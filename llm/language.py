@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.cluster import internal, join_hot, saved
+from llm.cluster import ROW, internal, join_hot, keyed, saved
 from llm.text import PIECE, _buffers, _LOWER, pieces
 
 BUCKETS = 1 << 15
@@ -183,8 +183,9 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """The documents that some language fits, all their columns as they are; their source stands for the host.
 
-    Rows with a null id are kept if their text has a language when rows with a null id are looked at together.
+    Each row is judged by itself, whether its id is null or repeated.
     """
-    rows = internal(docs, id="doc_id", text="text", host="source").select("id", "text", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), "host", F.lit("").alias("domain"))
-    bad = fuse(rows, text_model(docs)).where(F.col("lang") == UND).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    docs = keyed(docs)
+    rows = internal(docs, id=ROW, text="text", host="source").select("id", "text", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), "host", F.lit("").alias("domain"))
+    bad = fuse(rows, text_model(docs)).where(F.col("lang") == UND).select(F.col("id").alias(ROW))
+    return docs.join(bad, ROW, "left_anti").drop(ROW)

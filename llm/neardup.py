@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.cluster import BROADCAST_ROWS, internal, join_hot, partitions, saved
+from llm.cluster import BROADCAST_ROWS, ROW, internal, join_hot, keyed, partitions, saved
 from llm.text import mix, pieces, windows, words
 
 U = np.uint64
@@ -390,6 +390,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that near_duplicates() keeps, all their columns as they are."""
-    drop = near_duplicates(docs, n=n, percent=percent).where("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """The documents that near_duplicates() keeps, all their columns as they are. Each row is a document of its own; those
+    whose id is null or repeated come after all others."""
+    docs = keyed(docs)
+    drop = near_duplicates(docs, n=n, percent=percent, doc_id=ROW).where("not kept").select(F.col("doc_id").alias(ROW))
+    return docs.join(drop, ROW, "left_anti").drop(ROW)

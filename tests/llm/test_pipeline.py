@@ -1,6 +1,9 @@
 """The pipeline's stages against brute force, each on its own input, and what each must not do."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from llm import mixture
 from tests.llm.conftest import ODD
 from tests.llm.test_models import SAMPLES
 
@@ -35,6 +38,30 @@ def test_planted_cases(spark, docs, tmp_path):
     assert len({(r.doc_id, r.copy) for r in rows}) == len(rows)
 
 
+def test_null_and_repeated_ids(spark, docs, tmp_path):
+    item = "this passage of the test set has more than ten words in it and should never be seen"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    a, b, c, d = (" ".join(f"{w}{i}" if k % 7 == 0 else w for k, w in enumerate((SAMPLES[x] * 3).split())) for i, x in enumerate(["en", "de", "fr", "en"]))
+    near = " ".join("changed" if k == 30 else w for k, w in enumerate(b.split()))
+
+    def kept(k, rows):
+        df = docs([t for _, t in rows], [i for i, _ in rows])
+        out = corpus_pipeline.STAGES[k][1](spark, df, str(tmp_path))
+        assert out.columns == [*df.columns, "copy"][: len(out.columns)]
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    order = lambda rows: sorted(rows, key=repr)
+    assert kept(0, [(None, "123 456"), (None, a), (5, ""), (5, b), (5, b), (6, "")]) == order([(None, a), (5, b), (5, b)])
+    assert kept(1, [(None, a), (None, a), (None, b), (1, b), (5, c), (5, c), (4, c), (7, d), (7, a), (8, None), (8, "")])[:] in (order([(1, b), (5, c), (7, d), (7, a), (8, x)]) for x in (None, ""))
+    assert kept(2, [(None, b), (None, near), (2, a), (2, a), (3, c), (3, d)]) in (order([(None, x), (2, a), (3, c), (3, d)]) for x in (b, near))
+    assert kept(3, [(None, item), (None, a), (5, b + " " + item), (5, c), (6, d)]) == order([(None, a), (5, c), (6, d)])
+    # what the mixture gives to each row, not what it gives to any row of the id
+    rows = [(None, a)] * 3 + [(4, "one"), (4, b), (4, b), *[(i, c) for i in range(10, 20)]]
+    df = docs([t for _, t in rows], [i for i, _ in rows], source=["s", "t"] * 8)
+    want = mixture.mix(df.withColumn("doc_id", F.monotonically_increasing_id())).agg(F.sum("copies")).first()[0]
+    assert corpus_pipeline.STAGES[4][1](spark, df, str(tmp_path)).count() == want
+
+
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 50 and "copy" in rows.columns
