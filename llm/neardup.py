@@ -14,7 +14,7 @@
 5. So far a larger region was not compared in full. Now each of its members outside its largest component is compared
    with all members of other components by sketches of one bit a coordinate, which are made for such regions only; pairs
    that agree about as often as linked documents do go through steps 3 and 4 again. So a link is missed only if no tree has both ends in one region (for a similarity of 0.85 fewer than
-   one in 100,000) or their signatures agree less than is likely by more than four standard deviations.
+   one in 100,000, for 0.80, where the trees are the same, about 22 in 100,000) or their signatures agree less than is likely by more than four standard deviations.
 """
 
 from __future__ import annotations
