@@ -41,8 +41,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # documents have no paths: a source is taken as a tree of folders of a thousand and a hundred documents
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    # documents have no paths: a source is taken as a tree of folders of a thousand and a hundred documents, in each of
+    # which the first document is the licence file
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"), name)
     return _licenses.scan_licenses(table(spark, sf_dir, "documents"), path)
 
 

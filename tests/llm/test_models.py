@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,34 +316,83 @@ def test_wrapped_notices(spark):
     assert got == dict(enumerate([*WRAPPED, *[None] * len(plain) * 8]))
 
 
-def test_a_text_without_triggers_can_be_a_licence_file(spark):
-    rows = [(0, "a/TERMS", "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this software"), (1, "a/b/x.c", "int x;")]
-    df = spark.createDataFrame(rows, "doc_id long, p string, text string")
-    assert {r.doc_id: (r.license, r.inherited) for r in licenses.scan_licenses(df, F.col("p")).collect()} == {0: ("MIT", None), 1: (None, "MIT")}
-
-
-def test_frequencies_of_all_terms(spark):
-    texts = ["CC BY-SA 4.0, 4.0 and cc0", "by 4.0", "by-sa", None, "", "free-of charge 2", "Attribution-ShareAlike v2"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    want = {"4.0": 2, "by-sa": 2, "by": 1, "cc0": 1, "free": 0, "2": 1, "attribution": 0, "attribution-sharealike": 1}
-    assert licenses.frequencies(df, list(want)) == (len(texts), want)
-    # what every document has weighs least, whatever it is made of
-    df = spark.createDataFrame([(i, "d/x", "Licensed under CC BY-SA 4.0. 3") for i in range(3)], "doc_id long, p string, text string")
-    with pytest.MonkeyPatch.context() as m:
-        seen = []
-        m.setattr(licenses, "notices", lambda own, judge: seen.append(judge) or 1 / 0)
-        with pytest.raises(ZeroDivisionError):
-            licenses.scan_licenses(df, F.col("p"))
-    assert {t: seen[0].idf[t] for t in ("cc", "by-sa", "4.0", "3")} == dict.fromkeys(("cc", "by-sa", "4.0", "3"), 1.0)
+def brute_windows(text, judge, n_docs, df):
+    """All windows of all notices, by lists and dictionaries: best cosine for each license."""
+    idf = {t: math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in judge.vocabulary.terms}
+    other = math.sqrt(sum(x * x for x in idf.values()) / len(idf))
+    vec = lambda ts: {t: c * idf.get(t, other) for t, c in Counter(ts).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    own, best = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower()), {}
+    for name, ts in licenses.notices_of(licenses.TEMPLATES):
+        t, m = vec(ts), len(ts)
+        for size in {m, (m + 1) // 2} if m >= licenses.LONG else {m}:
+            for i in range(len(own)):
+                part = own[i : i + size]
+                if len(part) >= max(licenses.LEAST, (m + 1) // 2):
+                    v = vec(part)
+                    c = sum(x * t.get(k, 0) for k, x in v.items()) / norm(v) / norm(t)
+                    if c >= licenses.COSINE:
+                        best[name] = max(best.get(name, 0.0), c)
+    return best
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(5)
+    pool = [t for vs in licenses.TEMPLATES.values() for v in vs for t in v.split()]
+    texts = [None, "", "one"]
+    for i in range(60):
+        name = rng.choice(list(licenses.TEMPLATES))
+        v = rng.choice(licenses.TEMPLATES[name]).split()
+        a = rng.randrange(max(1, len(v) // 2))
+        notice = [w for w in v[a : a + rng.randrange(4, 60)] if rng.random() > 0.1]
+        noise = lambda k: [rng.choice([*pool, "of", "the", f"x{rng.randrange(50)}"]) for _ in range(k)]
+        texts.append("\n".join([" ".join(noise(rng.randrange(30))), " ".join(notice), " ".join(noise(rng.randrange(30)))]))
+    dirs = ["", "a", "a/b", "a/b/c", "a/d", "e/f/g"]
+    paths = [f"{rng.choice(dirs)}/{rng.choice(['LICENSE', 'x.py', 'y.c', 'COPYING.txt'])}".lstrip("/") if rng.random() > 0.05 else None for _ in texts]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(zip(paths, texts, strict=True))], "doc_id long, p string, text string").repartition(3)
+    known = licenses.Vocabulary(licenses.TEMPLATES)
+    words_of = [set(licenses.terms(t or "")) for t in texts]
+    counts = {t: sum(t in w for w in words_of) for t in known.terms}
+    assert licenses.frequencies(df, known) == (len(texts), counts)
+    judge = licenses.Judge(licenses.TEMPLATES, len(texts), counts)
+    own = {}
+    for i, t in enumerate(texts):
+        best = brute_windows(t, judge, len(texts), counts)
+        free = {k: c for k, c in best.items() if k != licenses.RESERVED} or best
+        own[i] = max(((round(c, 9), k) for k, c in free.items()), default=(0.0, None))
+    got = {r.doc_id: r for r in licenses.scan_licenses(df, F.col("p")).collect()}
+    assert len(got) == len(texts) and sum(x[1] is not None for x in own.values()) > 30
+    for i, (c, k) in own.items():
+        assert got[i].license == k and got[i].cosine == pytest.approx(c, abs=1e-8), texts[i]
+    # inheritance: walk up from each file
+    share = {i: s for i, (_, _, s) in enumerate(judge.judged(pa.array(texts, pa.large_string())))}
+    given = {}
+    for i, p in enumerate(paths):
+        if p is not None and own[i][1] and (re.search(r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$", p) or share[i] >= 0.5):
+            d = p.rpartition("/")[0]
+            given[d] = max(given.get(d, (0.0, "")), own[i])
+    for i, p in enumerate(paths):
+        want = (None, None)
+        if p is not None and own[i][1] is None:
+            d = p.rpartition("/")[0]
+            while d not in given and d:
+                d = d.rpartition("/")[0]
+            want = (given[d][1], d) if d in given else want
+        assert (got[i].inherited, got[i].inherited_from) == want, p
+
+
+def test_sentences_are_found_without_titles(spark):
+    rows = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "This is free and unencumbered software released into the public domain", "Redistribution and use in source and binary forms, with or without modification, are permitted"]
+    df = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, t in enumerate([*rows, *["words of no licence at all"] * 20])], "doc_id long, p string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(df, F.col("p")).collect()}
+    assert [got[i] for i in range(4)] == ["MIT", "Unlicense", "BSD-3-Clause", None]
 
 
-def test_every_template_finds_itself():
+def test_every_notice_finds_itself():
     judge = licenses.Judge(licenses.TEMPLATES, 0, {})
-    for name, text in licenses.TEMPLATES.items():
-        for s in re.split(r"\.\s", text):
-            if len(licenses.terms(s)) >= 3:
-                got, score = judge.best(s)
-                assert score == pytest.approx(1) and {x for x, ts, _ in judge.sentences if ts == set(licenses.terms(s))} >= {got} and name in licenses.TEMPLATES
+    for name, text in ((k, v) for k, vs in licenses.TEMPLATES.items() for v in vs):
+        ((found, cosine, share),) = judge.judged(pa.array(["before it " + text + " and after"]))
+        assert cosine == pytest.approx(1, abs=1e-6) and (found == name or text.count(" ") > 10) and share > 0.3
 
 
 # mixture
