@@ -7,14 +7,16 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: A group with at least this share of all rows is hot; there are at most 1 / HOT_SHARE such groups.
 HOT_SHARE = 1 / 1000
 #: Rows in a batch for Python, where the session does not say otherwise.
 BATCH = 1000
-#: Rows that a table may have to be broadcast; a row here is an id or a hash with a few numbers.
-BROADCAST_ROWS = 400_000
+#: Bits of a Bloom filter, at most: 16 MB that the driver assembles and each Python worker holds, however many keys there are.
+BLOOM_BITS = 1 << 27
 #: The column by which a stage tells rows apart.
 ROW = "_row"
 
@@ -41,7 +43,9 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own only where the cluster names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:  # on a cluster the executors could not see such a folder
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):  # the executors could not see such a folder
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -70,11 +74,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     """
     ids = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_again"))
     ids = saved(ids, "repeated")
-    few = ids.count()
-    if not few:
+    if ids.isEmpty():
         return docs.withColumn(ROW, F.col("doc_id").cast("long"))
     own = docs["doc_id"].eqNullSafe(F.col("_again"))
-    ids = F.broadcast(ids) if few <= BROADCAST_ROWS else ids
     top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
     again = saved(docs.join(ids, own, "left_semi").withColumn(ROW, F.monotonically_increasing_id() + F.lit(top + 1)), "numbered")
     return docs.join(ids, own, "left_anti").withColumn(ROW, F.col("doc_id").cast("long")).unionByName(again)
@@ -91,6 +93,51 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, size: str, total: int)
     return left.join(F.broadcast(few), on).unionByName(many)
 
 
-def with_few(df: DataFrame, keys: DataFrame, on: str, count: int) -> DataFrame:
-    """The rows whose key is in keys (distinct): by broadcast if these are few, else by a shuffle that can split hot keys."""
-    return df.join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, on, "left_semi")
+def _bloom(keys: DataFrame, on: str) -> tuple[np.ndarray, int]:
+    """The bytes of a Bloom filter of these keys, with two places for each, and its bits. Pages of it are made by tasks."""
+    bits, n = BLOOM_BITS, keys.count()
+    while bits > 1 << 15 and bits >= 64 * n:
+        bits >>= 1
+    place = F.explode(F.array(*places(on, bits)))
+    pages = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("m"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in pages.toLocalIterator():
+        out[r.page] = np.frombuffer(r.m, np.uint8)
+    return out.ravel(), bits
+
+
+def places(on: str, bits: int) -> tuple[Column, Column]:
+    h = F.xxhash64(on)
+    return h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))
+
+
+def sieved(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The column _maybe added: false only for rows whose key is not in keys (written, distinct). Nothing is shuffled."""
+    filled, bits = _bloom(keys, on)
+    held = df.sparkSession.sparkContext.broadcast(filled)
+    names = df.columns
+
+    def scan(batches):
+        for batch in batches:
+            ok = np.ones(len(batch), bool)
+            for c in (-2, -1):
+                at = batch.column(batch.num_columns + c).to_numpy()
+                ok &= (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ok)], [*names, "_maybe"])
+
+    return df.select("*", *[p.alias(f"_p{i}") for i, p in enumerate(places(on, bits))]).mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField("_maybe", T.BooleanType())]))
+
+
+def within(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is in keys (written, distinct). Only those that pass a Bloom filter are joined, so rows of other
+    keys are not shuffled, whatever join the sizes ask for."""
+    return sieved(df, keys, on).where("_maybe").drop("_maybe").join(keys, on, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is not in keys (written, distinct), which is not null; those that a Bloom filter rules out stay
+    where they are."""
+    if keys.isEmpty():
+        return df
+    both = sieved(df, keys, on)
+    return both.where("not _maybe").drop("_maybe").unionByName(both.where("_maybe").drop("_maybe").join(keys, on, "left_anti"))

@@ -4,21 +4,28 @@
    them and sends each owner one Golomb-coded list of gaps.
 2. An owner merges the lists it got and answers each with a bitmap: which of these fingerprints came more than once.
    Fingerprints sent by one task alone but held by several of its rows are marked by the sender in a bitmap of its own.
-3. Texts with marked fingerprints, the suspects, are grouped by their bytes, which verifies them. Grouping combines
-   copies in the task that reads them, so a text with a third of all rows reaches its reducer as one row for each task.
+3. Lists and bitmaps of one sender go into one file, which the task that reads the same part of the table maps. A row is
+   a suspect if its fingerprint is marked there, or is not there at all; so if a part is read by another task than
+   before, more rows are suspects and the result is the same. All other rows need no shuffle.
+4. Suspects are grouped by their bytes, which verifies them. Grouping combines copies in the task that reads them, so a
+   text with a third of all rows reaches its reducer as one row for each task.
 
 Fingerprints of different texts may be equal; that costs a comparison, never a wrong result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from llm.cluster import internal, partitions, saved, with_few
+from llm.cluster import internal, partitions, saved, shared_dir, ship
+from llm.files import Files, qualified
 
 #: Bits of a fingerprint. With N texts about N / 2**BITS of the others are suspected for nothing.
 BITS = 48
@@ -58,9 +65,12 @@ def fingerprints(texts: pa.Array, bits: int = BITS) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t.as_buffer()) >> (64 - bits) for t in data), np.uint64, len(texts))
 
 
-def suspects(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Distinct fingerprints (column mark) of texts that more than one row may have. docs: column text."""
-    owners = partitions(docs.sparkSession)
+def exchanged(docs: DataFrame, bits: int = BITS) -> Files:
+    """Steps 1 to 3: a file for each task that reads docs (column text), of its fingerprints and what owners say of them."""
+    spark = docs.sparkSession
+    ship(spark)
+    owners = partitions(spark)
+    files = Files(f"{qualified(spark, shared_dir(spark))}/replies-{uuid.uuid4().hex}")
 
     def send(batches):
         # The lists of a task are sent when it has read a few million texts, so its memory is bounded.
@@ -102,23 +112,50 @@ def suspects(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     answers = sent.select("sender", "owner", "list", "twice").groupBy("owner").applyInArrow(answer, "sender long, owner int, bitmap binary")
 
-    def marked(batches):
-        for batch in batches:
-            got = [ungolomb(x.as_py())[np.unpackbits(np.frombuffer(m.as_py(), np.uint8)).astype(bool)[: int(np.frombuffer(x.as_py(), np.int64, 1)[0])]] for x, m in zip(batch.column(0), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).astype(np.int64) if got else [], pa.int64())], ["mark"])
-
-    return sent.select("sender", "owner", "list").join(answers, ["sender", "owner"]).select("list", "bitmap").mapInArrow(marked, "mark long").distinct()
-
-
-def fingerprinted(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The column mark added to all others."""
+    def deliver(key, lists, bitmaps):
+        said = dict(zip(zip(bitmaps.column("sender").to_pylist(), bitmaps.column("owner").to_pylist(), strict=True), bitmaps.column("bitmap").to_pylist(), strict=True))
+        v, many = [], []
+        for who, o, x in zip(*(lists.column(c).to_pylist() for c in ("sender", "owner", "list")), strict=True):
+            v.append(ungolomb(x))
+            many.append(np.unpackbits(np.frombuffer(said[who, o], np.uint8), count=len(v[-1])).astype(bool))
+        v, at = np.unique(np.concatenate(v), return_index=True)  # owners say the same of a fingerprint in several lists
+        files.put(f"reply-{key[0].as_py()}", len(v).to_bytes(8, "little") + v.tobytes() + np.packbits(np.concatenate(many)[at]).tobytes())
+        return pa.table({"task": pa.array([key[0].as_py()], pa.int64())})
+
+    task = F.shiftright("sender", 20).alias("task")
+    sent.groupBy(task).cogroup(answers.groupBy(task)).applyInArrow(deliver, "task long").count()
+    return files
+
+
+class Suspects:
+    """Which fingerprints of one task's rows more than one row may have."""
+
+    def __init__(self, files: Files):
+        name = f"reply-{TaskContext.get().partitionId()}"
+        self.known, self.many = np.zeros(0, np.uint64), np.zeros(0, bool)
+        if files.has(name):
+            m = files.map(name)
+            n = int.from_bytes(m[:8], "little")
+            self.known = np.frombuffer(m, np.uint64, n, 8)
+            self.many = np.unpackbits(np.frombuffer(m, np.uint8, -1, 8 + 8 * n), count=n).astype(bool)
+
+    def among(self, v: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.ones(len(v), bool)
+        k = np.minimum(np.searchsorted(self.known, v), len(self.known) - 1)
+        return (self.known[k] != v) | self.many[k]
+
+
+def flagged(docs: DataFrame, files: Files, bits: int = BITS) -> DataFrame:
+    """The column _suspect added to all others."""
     names = docs.columns
 
     def scan(batches):
+        suspects = Suspects(files)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprints(batch.column(names.index("text")), bits).astype(np.int64))], [*names, "mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(suspects.among(fingerprints(batch.column(names.index("text")), bits)), pa.bool_())], [*names, "_suspect"])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("mark", T.LongType())]))
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("_suspect", T.BooleanType())]))
 
 
 def copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits: int = BITS) -> DataFrame:
@@ -128,20 +165,29 @@ def copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits:
     ids are below all others; rows repeated with the same id and text are one document and share the result. Other
     columns are left aside. An empty table gives an empty result.
     """
-    own = internal(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marks = saved(suspects(own, bits), "suspects")
-    count = marks.count()
-    suspected = with_few(fingerprinted(own, bits), marks, "mark", count)
-    groups = suspected.groupBy("mark", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    own = internal(docs, doc_id=doc_id, text=text)
+    files = exchanged(own.select("text"), bits)
+
+    def digests(batches):
+        suspects = Suspects(files)
+        for batch in batches:
+            texts = batch.column(1).fill_null("")
+            sha = [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts.cast(pa.large_binary())] if len(texts) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.array(suspects.among(fingerprints(texts, bits)), pa.bool_())], ["doc_id", "text_sha256", "suspect"])
+
+    kind = own.schema["doc_id"]
+    rows = saved(own.mapInArrow(digests, T.StructType([kind, T.StructField("text_sha256", T.StringType()), T.StructField("suspect", T.BooleanType())])), "digests")
+    doubted = flagged(own, files, bits).where("_suspect").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    groups = doubted.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = saved(groups.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
-    rows = own.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    n = own.count()
-    hot = F.col("group_size") >= max(2.0, n / 1000)
-    # hot groups, a thousand at most, are broadcast; the others are joined by a shuffle of ids and digests
-    few = groups.where(hot)
-    found = rows.join(F.broadcast(few), "text_sha256", "left")
+    some = rows.where("suspect").select("doc_id", "text_sha256")
+    hot = F.col("group_size") >= max(2.0, some.count() / 1000)
+    # hot groups, a thousand at most, are broadcast; the others are joined by a shuffle of ids and digests of suspects
+    found = some.join(F.broadcast(groups.where(hot)), "text_sha256", "left")
     rest = found.where(F.col("group_size").isNull()).select("doc_id", "text_sha256").join(groups.where(~hot), "text_sha256", "left")
-    every = found.where(F.col("group_size").isNotNull()).unionByName(rest)
+    alone = rows.where("not suspect").select("doc_id", "text_sha256", F.lit(None).cast(kind.dataType).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    cols = ["doc_id", "text_sha256", "keep_id", "group_size"]
+    every = found.where(F.col("group_size").isNotNull()).select(cols).unionByName(rest.select(cols)).unionByName(alone)
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return every.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
@@ -149,13 +195,10 @@ def copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits:
 
 def distinct_documents(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row of each text that copies() keeps, all its columns as they are. Of rows repeated with the same id and text,
-    null ids too, one stays, whichever it is."""
-    found = saved(copies(docs, bits=bits).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "copies")
-    docs, names = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")), 256)), docs.columns
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    docs_left = docs.join(found.where("not kept").select("_id", "_sha").distinct(), same, "left_anti")
-    again = saved(found.where("kept").groupBy("_id", "_sha").count().where("count > 1").select("_id", "_sha"), "repeated")
-    if again.isEmpty():
-        return docs_left.select(names)
-    one = docs.join(again, same, "left_semi").dropDuplicates(["_own"])
-    return docs_left.join(again, same, "left_anti").unionByName(one).select(names)
+    null ids too, one stays, whichever it is. Only suspects are shuffled, copies of one text combined in the task that
+    reads them."""
+    names = docs.columns
+    rows = flagged(docs, exchanged(docs.select("text"), bits), bits)
+    first = F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(F.col("doc_id").isNotNull(), "doc_id"))
+    one = rows.where("_suspect").groupBy(F.coalesce("text", F.lit("")).alias("_text")).agg(first.alias("_row"))
+    return rows.where("not _suspect").select(names).unionByName(one.select("_row.*"))

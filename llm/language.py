@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.cluster import ROW, internal, join_hot, keyed, saved
+from llm.cluster import ROW, internal, join_hot, keyed, saved, ship, without
 from llm.text import PIECE, _buffers, _LOWER, pieces
 
 BUCKETS = 1 << 15
@@ -82,6 +82,7 @@ def text_model(docs: DataFrame, *, text: str = "text", label: str = "lang") -> T
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["label", "bucket", "n"])
 
+    ship(docs.sparkSession)
     known = internal(docs, label=label, text=text).where("label is not null and text is not null")
     sums = known.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     names = [r.label for r in known.select("label").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()]
@@ -188,4 +189,4 @@ def known_language(docs: DataFrame) -> DataFrame:
     docs = keyed(docs)
     rows = internal(docs, id=ROW, text="text", host="source").select("id", "text", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), "host", F.lit("").alias("domain"))
     bad = fuse(rows, text_model(docs)).where(F.col("lang") == UND).select(F.col("id").alias(ROW))
-    return docs.join(bad, ROW, "left_anti").drop(ROW)
+    return without(docs, saved(bad, "rejected"), ROW).drop(ROW)

@@ -18,9 +18,6 @@ Words are known by 64-bit hashes where tokens are counted, and by 48 of these bi
 
 from __future__ import annotations
 
-import mmap
-import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
@@ -28,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from llm.cluster import internal, partitions, shared_dir
+from llm.files import Files, qualified
 from llm.text import mix, pieces, words
 
 U = np.uint64
@@ -68,44 +65,6 @@ def bigram_key(ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
     return mix(mix(ctx + U(1)) + tok)
 
 
-class Files:
-    """A folder that all can reach. Where it is a mounted one, files are mapped in place; else a worker maps its copy."""
-
-    def __init__(self, uri: str):
-        self.uri = uri
-
-    def _open(self):
-        return pyarrow.fs.FileSystem.from_uri(self.uri)
-
-    def put(self, name: str, data: bytes) -> None:
-        """Whole or not at all, so tasks can run again."""
-        fs, path = self._open()
-        fs.create_dir(path, recursive=True)
-        tmp = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(tmp) as f:
-            f.write(data)
-        fs.move(tmp, f"{path}/{name}")
-
-    def map(self, name: str) -> memoryview:
-        fs, path = self._open()
-        where = f"{path}/{name}"
-        if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-            copy = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
-            pyarrow.fs.copy_files(where, copy, source_filesystem=fs, destination_filesystem=pyarrow.fs.LocalFileSystem())
-            where = copy
-        with open(where, "rb") as f:
-            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-            os.unlink(where)  # the mapping stays
-        return memoryview(m)
-
-
-def _qualified(spark, path: str) -> str:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 @dataclass(frozen=True)
 class Layout:
     """Which owner has what."""
@@ -187,7 +146,7 @@ def train(docs: DataFrame, *, text: str = "text", where: Column | None = None) -
     """Count all texts (of the rows that where holds for). Null texts are empty: a start and an end."""
     spark = docs.sparkSession
     layout = Layout(max(1, 2 * partitions(spark) // SPREAD) * SPREAD)
-    files = Files(f"{_qualified(spark, shared_dir(spark))}/lm-{uuid.uuid4().hex}")
+    files = Files(f"{qualified(spark, shared_dir(spark))}/lm-{uuid.uuid4().hex}")
 
     def count(batches):
         held, size = [], 0
@@ -307,8 +266,7 @@ class Reader:
         return self._bigram[o]
 
     def _has(self, name: str) -> bool:
-        fs, path = pyarrow.fs.FileSystem.from_uri(self.model.files.uri)
-        return fs.get_file_info(f"{path}/{name}").type == pyarrow.fs.FileType.File
+        return self.model.files.has(name)
 
     def words(self, keys: np.ndarray) -> np.ndarray:
         """For sorted words: count; total, n1, n2, n3 as a context; different words before."""

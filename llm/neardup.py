@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.cluster import BROADCAST_ROWS, ROW, internal, join_hot, keyed, partitions, saved
+from llm.cluster import ROW, internal, join_hot, keyed, partitions, saved, ship, within, without
 from llm.text import mix, pieces, windows, words
 
 U = np.uint64
@@ -237,7 +237,7 @@ def candidates(trees: DataFrame, regions: DataFrame, ratio: float, small: int, l
 
     scan, schema = _by_key(best, ("region",), "region long, hub long", ["region", "hub"])
     top = hubs.repartition(parts, "region").sortWithinPartitions("region").select("region", "rep", "label").mapInArrow(scan, schema)
-    stars = trees.select("region", "rep").join(F.broadcast(top), "region").where("rep != hub").select("hub", F.col("rep").alias("other"))
+    stars = trees.select("region", "rep").join(top, "region").where("rep != hub").select("hub", F.col("rep").alias("other"))
     return once(plain.unionByName(stars))
 
 
@@ -300,8 +300,9 @@ def left_over(trees: DataFrame, regions: DataFrame, label: DataFrame, texts_of,
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets have 100 * intersection >= percent * union. docs: rep and text of all classes in pairs."""
     parts = partitions(pairs.sparkSession)
-    stars = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(stars, "hub").select("hub", "other", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int").alias("chunk"))
+    stars = saved(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("partners"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "stars")
+    # a hub with very many partners is broadcast, so that its pairs stay where they are until they are dealt into chunks
+    dealt = join_hot(pairs, stars, "hub", "partners", pairs.count()).select("hub", "other", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int").alias("chunk"))
     hubs = stars.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("other"), F.col("hub").alias("rep"))
     rows = hubs.unionByName(dealt.withColumn("rep", F.col("other"))).join(docs, "rep").select("hub", "chunk", "other", "text")
 
@@ -350,6 +351,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     null component and are kept; rows repeated with the same id are one document. Other columns are left aside. An empty
     table gives an empty result.
     """
+    ship(docs.sparkSession)
     own = internal(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
     meta = saved(described(own, n), "meta")
     total = meta.count()
@@ -361,10 +363,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
     regions = saved(trees.groupBy("region").count().where("count > 1"), "regions")
 
     def texts_of(reps: DataFrame) -> DataFrame:
-        ids = saved(reps, "ids")
-        few = ids.count() <= BROADCAST_ROWS
-        mine = own.withColumnRenamed("doc_id", "rep")
-        return mine.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+        return within(own.withColumnRenamed("doc_id", "rep"), saved(reps, "ids"), "rep")
 
     def links(pairs: DataFrame) -> DataFrame:
         reps = pairs.select(F.col("hub").alias("rep")).unionByName(pairs.select(F.col("other").alias("rep"))).distinct()
@@ -394,4 +393,4 @@ def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     whose id is null or repeated come after all others."""
     docs = keyed(docs)
     drop = near_duplicates(docs, n=n, percent=percent, doc_id=ROW).where("not kept").select(F.col("doc_id").alias(ROW))
-    return docs.join(drop, ROW, "left_anti").drop(ROW)
+    return without(docs, saved(drop, "drop"), ROW).drop(ROW)
