@@ -17,7 +17,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.cluster import partitions
+from llm.cluster import partitions, ship
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,7 @@ def format_chats(turns: DataFrame, template: Template = LLAMA, *, conv_id: str =
         if out:
             yield _batch(out)
 
+    ship(turns.sparkSession)
     return rows.mapInArrow(scan, SEGMENT)
 
 
@@ -187,6 +188,7 @@ def read_back(formatted: DataFrame, template: Template = LLAMA) -> DataFrame:
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
+    ship(formatted.sparkSession)
     return formatted.mapInArrow(scan, schema)
 
 

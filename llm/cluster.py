@@ -67,6 +67,14 @@ def internal(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """The column ROW added, which no two rows share: doc_id where it names one row, else a number above all ids.
 
@@ -111,11 +119,12 @@ def places(on: str, bits: int) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))
 
 
-def sieved(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The column _maybe added: false only for rows whose key is not in keys (written, distinct). Nothing is shuffled."""
+def sieved(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that a Bloom filter of keys (written, distinct) lets pass, which are all whose key is among them and some
+    others, and those that it does not. Nothing is shuffled."""
     filled, bits = _bloom(keys, on)
     held = df.sparkSession.sparkContext.broadcast(filled)
-    names = df.columns
+    names, maybe, at = df.columns, fresh(df, "_maybe"), [fresh(df, f"_place{i}") for i in (0, 1)]
 
     def scan(batches):
         for batch in batches:
@@ -123,15 +132,16 @@ def sieved(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
             for c in (-2, -1):
                 at = batch.column(batch.num_columns + c).to_numpy()
                 ok &= (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ok)], [*names, "_maybe"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(ok)], [*names, maybe])
 
-    return df.select("*", *[p.alias(f"_p{i}") for i, p in enumerate(places(on, bits))]).mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField("_maybe", T.BooleanType())]))
+    both = df.select("*", *[p.alias(a) for p, a in zip(places(on, bits), at, strict=True)]).mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField(maybe, T.BooleanType())]))
+    return both.where(F.col(maybe)).drop(maybe), both.where(~F.col(maybe)).drop(maybe)
 
 
 def within(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows whose key is in keys (written, distinct). Only those that pass a Bloom filter are joined, so rows of other
     keys are not shuffled, whatever join the sizes ask for."""
-    return sieved(df, keys, on).where("_maybe").drop("_maybe").join(keys, on, "left_semi")
+    return sieved(df, keys, on)[0].join(keys, on, "left_semi")
 
 
 def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -139,5 +149,5 @@ def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     where they are."""
     if keys.isEmpty():
         return df
-    both = sieved(df, keys, on)
-    return both.where("not _maybe").drop("_maybe").unionByName(both.where("_maybe").drop("_maybe").join(keys, on, "left_anti"))
+    passed, others = sieved(df, keys, on)
+    return others.unionByName(passed.join(keys, on, "left_anti"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from llm.cluster import internal, partitions, saved, shared_dir, ship
+from llm.cluster import fresh, internal, partitions, saved, shared_dir, ship
 from llm.files import Files, qualified
 
 #: Bits of a fingerprint. With N texts about N / 2**BITS of the others are suspected for nothing.
@@ -146,16 +146,17 @@ class Suspects:
         return (self.known[k] != v) | self.many[k]
 
 
-def flagged(docs: DataFrame, files: Files, bits: int = BITS) -> DataFrame:
-    """The column _suspect added to all others."""
-    names = docs.columns
+def told_apart(docs: DataFrame, files: Files, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose text another row may have, and those whose text none has."""
+    names, flag = docs.columns, fresh(docs, "_suspect")
 
     def scan(batches):
         suspects = Suspects(files)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(suspects.among(fingerprints(batch.column(names.index("text")), bits)), pa.bool_())], [*names, "_suspect"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(suspects.among(fingerprints(batch.column(names.index("text")), bits)), pa.bool_())], [*names, flag])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("_suspect", T.BooleanType())]))
+    both = docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())]))
+    return both.where(F.col(flag)).drop(flag), both.where(~F.col(flag)).drop(flag)
 
 
 def copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits: int = BITS) -> DataFrame:
@@ -177,7 +178,7 @@ def copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits:
 
     kind = own.schema["doc_id"]
     rows = saved(own.mapInArrow(digests, T.StructType([kind, T.StructField("text_sha256", T.StringType()), T.StructField("suspect", T.BooleanType())])), "digests")
-    doubted = flagged(own, files, bits).where("_suspect").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    doubted = told_apart(own, files, bits)[0].select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     groups = doubted.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = saved(groups.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
     some = rows.where("suspect").select("doc_id", "text_sha256")
@@ -198,7 +199,7 @@ def distinct_documents(docs: DataFrame, bits: int = BITS) -> DataFrame:
     null ids too, one stays, whichever it is. Only suspects are shuffled, copies of one text combined in the task that
     reads them."""
     names = docs.columns
-    rows = flagged(docs, exchanged(docs.select("text"), bits), bits)
+    suspects, others = told_apart(docs, exchanged(docs.select("text"), bits), bits)
     first = F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(F.col("doc_id").isNotNull(), "doc_id"))
-    one = rows.where("_suspect").groupBy(F.coalesce("text", F.lit("")).alias("_text")).agg(first.alias("_row"))
-    return rows.where("not _suspect").select(names).unionByName(one.select("_row.*"))
+    one = suspects.groupBy(F.coalesce("text", F.lit("")).alias("_text")).agg(first.alias("_row"))
+    return others.unionByName(one.select("_row.*"))

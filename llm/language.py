@@ -125,6 +125,7 @@ def _array(x: np.ndarray) -> Column:
 
 def fuse(rows: DataFrame, model: TextModel) -> DataFrame:
     """rows: id, text, declared, suffix, host, domain -> id, text_lang, lang, confidence; und where no language fits."""
+    ship(rows.sparkSession)
     k = len(model.labels) + 1
     names = [*model.labels, UND]
 

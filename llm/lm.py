@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from llm.cluster import internal, partitions, shared_dir
+from llm.cluster import internal, partitions, shared_dir, ship
 from llm.files import Files, qualified
 from llm.text import mix, pieces, words
 
@@ -145,6 +145,7 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 def train(docs: DataFrame, *, text: str = "text", where: Column | None = None) -> Model:
     """Count all texts (of the rows that where holds for). Null texts are empty: a start and an end."""
     spark = docs.sparkSession
+    ship(spark)
     layout = Layout(max(1, 2 * partitions(spark) // SPREAD) * SPREAD)
     files = Files(f"{qualified(spark, shared_dir(spark))}/lm-{uuid.uuid4().hex}")
 

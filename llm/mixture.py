@@ -17,12 +17,13 @@ import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from llm.cluster import internal, partitions, saved
+from llm.cluster import internal, partitions, saved, ship
 
 #: Copies of a document, and times its size that a source may give, at most.
 MOST = 3
-#: Newton or bisection steps; they stop when all sources are within TOLERANCE of their targets.
-STEPS, TOLERANCE = 60, 1e-9
+#: Steps stop when all sources are within TOLERANCE of their targets, or their brackets cannot be halved any more. That
+#: takes some 15 steps outward and 60 halvings at most; more than STEPS is an error.
+STEPS, TOLERANCE = 200, 1e-9
 
 
 def words(text: Column) -> Column:
@@ -34,7 +35,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     """source, source_size -> also target. Sources by code point, nulls last, have these weights, repeating.
 
     All words are shared by weight; what a source cannot give, at most `most` times its size, the others share in turn.
-    This is a level t with target = min(most * size, weight * t): sources stop in the order of size / weight.
+    This is a level t with target = min(most * size, weight * t): sources stop in the order of size / weight. The table has
+    one row for each source; it is sorted in one task, which spills where that is too much to hold.
     """
     every = Window.partitionBy(F.lit(1))
     place = F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -61,11 +63,11 @@ def multipliers(sizes: DataFrame, goal: DataFrame, most: int = MOST) -> DataFram
     first = F.when(F.col("target") <= 0, -1e300).otherwise(F.least(F.lit(top), F.log(F.col("target") / F.col("source_size"))) / F.col("x"))
     state = saved(both.select("source", "target", first.alias("l"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), (F.col("target") <= 0).alias("done")), "dual")
     found = state.where("done").select("source", "l")
-    for step in range(STEPS):
+    for _ in range(STEPS):
         live = state.where("not done")
         if live.isEmpty():
             break
-        rows = sizes.alias("h").join(F.broadcast(live).alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.*", "target", "l", "lo", "hi")
+        rows = sizes.alias("h").join(live.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.*", "target", "l", "lo", "hi")
         z = F.col("l") * F.col("x")
         given = words_ * F.exp(F.least(z, F.lit(top)))
         sums = rows.groupBy("source").agg(*[F.first(c).alias(c) for c in ("target", "l", "lo", "hi")], F.sum(given).alias("g"), F.sum(F.when(z < top, given * F.col("x")).otherwise(0.0)).alias("h"))
@@ -74,9 +76,11 @@ def multipliers(sizes: DataFrame, goal: DataFrame, most: int = MOST) -> DataFram
         inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi")) & (F.abs(F.col("newton") - F.col("l")) < 5)
         # beyond the bracket or far away: halve the bracket, or double outward while one side of it is open
         wide = F.when(F.col("lo") <= -1e4, F.least(F.col("hi") * 2, F.col("hi") - 1)).when(F.col("hi") >= 1e4, F.greatest(F.col("lo") * 2, F.col("lo") + 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
-        done = (F.abs(off) <= TOLERANCE * F.col("target")) | ((F.col("hi") - F.col("lo")) <= 1e-13 * F.abs(F.col("l"))) | F.lit(step == STEPS - 1)
+        done = (F.abs(off) <= TOLERANCE * F.col("target")) | ((F.col("hi") - F.col("lo")) <= 1e-13 * F.abs(F.col("l")) + 1e-300)
         state = saved(sums.select("source", "target", F.when(done, F.col("l")).when(inside, F.col("newton")).otherwise(wide).alias("l"), "lo", "hi", done.alias("done")), "dual")
         found = found.unionByName(state.where("done").select("source", "l"))
+    else:
+        raise ArithmeticError(f"multipliers of some sources did not converge in {STEPS} steps")
     # rounded, so that the order in which sums were added up does not show in the copies
     return found.select("source", F.round("l", 10).alias("l"))
 
@@ -100,6 +104,7 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source:
     source, the last; null ids and repeated rows are documents of their own and share odd copies in any order. The same
     rows give the same copies in every run. Other columns are left aside. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     parts = max(64, partitions(docs.sparkSession))
     own = internal(docs, doc_id=doc_id, source=source, text=text)
     own = saved(own.select("doc_id", "source", words(F.col("text")).alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")), "sizes")
@@ -108,10 +113,10 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source:
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
     goal = saved(targets(totals.select("source", "source_size")), "goal")
     mean = totals.select("source", (F.col("source_size") / F.col("documents")).alias("mean"))
-    sizes = hist.where("size > 0").alias("h").join(F.broadcast(mean).alias("m"), F.col("h.source").eqNullSafe(F.col("m.source"))).select("h.*", (F.col("size") / F.col("mean")).alias("x"))
+    sizes = hist.where("size > 0").alias("h").join(mean.alias("m"), F.col("h.source").eqNullSafe(F.col("m.source"))).select("h.*", (F.col("size") / F.col("mean")).alias("x"))
     sizes = saved(sizes, "hist")
     l = multipliers(sizes, goal)
-    rated = sizes.alias("h").join(F.broadcast(l).alias("l"), F.col("h.source").eqNullSafe(F.col("l.source"))).select("h.source", "size", "n", F.least(F.lit(float(MOST)), F.exp(F.col("l") * F.col("x"))).alias("rate"))
+    rated = sizes.alias("h").join(l.alias("l"), F.col("h.source").eqNullSafe(F.col("l.source"))).select("h.source", "size", "n", F.least(F.lit(float(MOST)), F.exp(F.col("l") * F.col("x"))).alias("rate"))
     given = rated.groupBy("source").applyInArrow(_round, "source string, size long, n long, copies long")
     # copies of a size to its parts, in proportion, by running sums over the few parts of a size
     in_order = Window.partitionBy("b.source", "b.size").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
@@ -123,4 +128,4 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source:
     rank = F.row_number().over(Window.partitionBy("d.source", "d.size", "d.part").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
     each = own.alias("d").join(split.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.size") == F.col("s.size")) & (F.col("d.part") == F.col("s.part")))
     each = each.select("doc_id", F.col("d.source").alias("source"), F.col("d.size").alias("size"), F.least(F.lit(MOST), F.floor(F.col("own") / F.col("n")) + (rank <= F.col("own") % F.col("n")).cast("long")).alias("copies"))
-    return each.alias("e").join(F.broadcast(goal).alias("g"), F.col("e.source").eqNullSafe(F.col("g.source"))).select("doc_id", "e.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return each.alias("e").join(goal.alias("g"), F.col("e.source").eqNullSafe(F.col("g.source"))).select("doc_id", "e.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

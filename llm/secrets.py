@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from llm.cluster import internal
+from llm.cluster import internal, saved, ship
 from llm.text import Words, pieces, words
 
 #: Patterns of the base, in the order in which kinds are listed.
@@ -128,13 +128,15 @@ class Field:
         extra = max(0.0, float(np.max(gain[np.isfinite(gain)])))
         most = np.maximum(scores[:, BEGIN], scores[:, IN]) - scores[:, OUT] + extra
         hot = np.flatnonzero(most > -extra)
+        # what all words of a text could gain at most; the margin covers that sums of many terms are rounded
+        gains = np.concatenate(([0.0], np.cumsum(np.maximum(most, 0), dtype=np.float64)))
         done = -1
         for i in hot:
             if i <= done:
                 continue
             d = int(np.searchsorted(first, i, "right")) - 1
             lo, hi = int(first[d]), int(first[d + 1])
-            limit = -(float(np.maximum(most[lo:hi], 0).sum()) + extra)
+            limit = -(float(gains[hi] - gains[lo]) + extra + 1e-9 * float(gains[hi]) + 1e-6)
             a = b = int(i)
             left = right = 0.0
             while a > max(lo, done + 1) and left > limit:
@@ -236,7 +238,9 @@ def _offsets(w: Words, texts: pa.Array) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, sequences: int = SEQUENCES) -> list:
-    """Sequences of feature numbers and tags, chosen by a hash: half around spans of the patterns, half anywhere."""
+    """Sequences of feature numbers and tags: half around spans of the patterns, half anywhere, those with the smallest
+    hashes. The corpus is scanned once and what could be chosen is written; a histogram of its hashes shows which part of it
+    comes to the driver, so that this is little more than is asked for, however many tasks there are."""
 
     def scan(batches):
         for batch in batches:
@@ -266,12 +270,29 @@ def training_rows(docs: DataFrame, sequences: int = SEQUENCES) -> list:
                 cols = zip(*rows, strict=True) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["hit", "pick", "f", "tags"])
 
-    found = docs.mapInArrow(scan, "hit boolean, pick long, f binary, tags binary")
-    return [r for hit in (True, False) for r in found.where(F.col("hit") == hit).orderBy("pick", "f").limit(sequences // 2).collect()]
+    found = saved(docs.mapInArrow(scan, "hit boolean, pick long, f binary, tags binary"), "sequences")
+    out = []
+    for hit in (True, False):
+        own = found.where(F.col("hit") == hit)
+        upto = 1 << 62
+        if (n := own.count()) > sequences:
+            # bins that hold a sixteenth of what is asked for, on average
+            width = max(1, (1 << 62) * sequences // 32 // n)
+            bins = own.where(F.col("pick") < width * 64).groupBy(F.floor(F.col("pick") / width).alias("bin")).count().orderBy("bin").collect()
+            seen = 0
+            for r in bins:
+                seen += r["count"]
+                if seen >= sequences // 2:
+                    upto = width * (r.bin + 1)
+                    break
+        # a pick is by document, so repeated rows share it; the limit holds if many do
+        out += own.where(F.col("pick") < upto).orderBy("pick", "f").limit(sequences // 2).collect()
+    return out
 
 
 def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sequences: int = SEQUENCES) -> Field | None:
     """Fit on at most so many sequences; None if the patterns find nothing to learn from."""
+    ship(docs.sparkSession)
     rows = training_rows(internal(docs, doc_id=doc_id, text=text), sequences)
     if not any(r.hit for r in rows):
         return None
@@ -295,6 +316,7 @@ def scan_secrets(docs: DataFrame, field: Field | None, *, text: str = "text", do
     Null and empty texts have no spans; null ids and repeated rows are scanned like others. Other columns are left aside.
     Without a field only the patterns are used.
     """
+    ship(docs.sparkSession)
 
     def scan(batches):
         for batch in batches:

@@ -3,8 +3,9 @@
 Documents are dealt once into groups by a hash of their id. At the first level each group sends the owners of hash ranges
 the Golomb-coded fingerprints of its windows of `start` words; owners answer with bitmaps of those that came more than
 once. Only where two such windows together span twice the length can the longer one repeat, so only these are sent at
-the next level, until the target length is reached or no candidates survive. At the target length a group sends full
-64-bit hashes with the smallest id it holds for each; the answer is whether that is the smallest of all.
+the next level, until the target length is reached or no candidates survive. At the target length a group sends two
+64-bit hashes of each window, made of different hashes of its words, with the smallest id it holds for it; the answer is
+whether that is the smallest of all. With N windows some N ** 2 / 2 ** 129 pairs of different ones are taken for equal.
 
 The shuffle of the documents is the same at each level, so Spark makes it once and reuses it.
 """
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.cluster import internal, partitions
+from llm.cluster import internal, partitions, ship
 from llm.exact import golomb, ungolomb
 from llm.text import covered, windows, words
 
@@ -27,7 +28,7 @@ BITS = 44
 GROUPS, OWNED = 2, 2
 
 _REPLY = "g long, level int, owner int, bitmap binary"
-_LIST = "g long, level int, owner int, list binary, twice binary, least binary"
+_LIST = "g long, level int, owner int, list binary, second binary, twice binary, least binary"
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -51,6 +52,20 @@ class Group:
         self.known = np.repeat(known, np.diff(self.words.first))
         self.good: np.ndarray | None = None  # by word: a window of the last size that starts here is a candidate
 
+    def distinct(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the candidates of a level, their distinct fingerprints (first and second hash; the second at the
+        last level only, elsewhere empty), which each has, and how many have it."""
+        h, at = self.at_level(k)
+        if k < len(self.sizes) - 1:
+            v, which, n = np.unique(h >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
+            return at, v, v[:0], which, n
+        second, every = windows(self.words.hashes(1), self.words.first, self.sizes[k])
+        second = second[np.searchsorted(every, at)]
+        order, new = _by_pair(h, second)
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return at, h[order][new], second[order][new], which, np.bincount(which, minlength=int(new.sum()))
+
     def at_level(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and first words of the candidates of this level."""
         size = self.sizes[k]
@@ -62,8 +77,7 @@ class Group:
 
     def take(self, k: int, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Candidates of a level, their distinct fingerprints, for each candidate which, and what the owners said of each."""
-        h, at = self.at_level(k)
-        v, which = np.unique(h if k == len(self.sizes) - 1 else h >> np.uint64(64 - BITS), return_inverse=True)
+        at, v, _, which, _ = self.distinct(k)
         said = np.zeros(len(v), bool)
         for o, a, b in self.cuts(v, k):
             if o in replies:
@@ -79,16 +93,23 @@ class Group:
         return [(o, int(a), int(b)) for o, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
 
     def lists(self, k: int, g: int) -> pa.Table:
-        h, at = self.at_level(k)
+        at, v, second, which, n = self.distinct(k)
         last = k == len(self.sizes) - 1
-        v, which, n = np.unique(h if last else h >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
         least = np.full(len(v), np.iinfo(np.int64).max)
         if last:
             np.minimum.at(least, which, self.ids[self.words.text_of()[at]])
-        rows = [(g, k, o, golomb(v[a:b], 64 if last else BITS), np.packbits(n[a:b] > 1).tobytes(), _planes(least[a:b]) if last else b"") for o, a, b in self.cuts(v, k)]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        cols = zip(*rows, strict=True) if rows else [[]] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["g", "level", "owner", "list", "twice", "least"])
+        rows = [(g, k, o, golomb(v[a:b], 64 if last else BITS), _planes(second[a:b]) if last else b"", np.packbits(n[a:b] > 1).tobytes(), _planes(least[a:b]) if last else b"") for o, a, b in self.cuts(v, k)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        cols = zip(*rows, strict=True) if rows else [[]] * 7
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["g", "level", "owner", "list", "second", "twice", "least"])
+
+
+def _by_pair(v: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs, and where a new one begins."""
+    order = np.lexsort((second, v))
+    new = np.ones(len(v), bool)
+    new[1:] = (v[order][1:] != v[order][:-1]) | (second[order][1:] != second[order][:-1])
+    return order, new
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -104,11 +125,12 @@ def _answer(key, table):
     """Of one owner and level: for each list, which fingerprints are repeated, or at the last level whose id is the least."""
     lists = [ungolomb(x.as_py()) for x in table.column("list")]
     v = np.concatenate(lists)
-    order = np.argsort(v, kind="stable")
-    new = np.concatenate(([True], v[order][1:] != v[order][:-1]))
+    last = bool(table.column("least")[0].as_py())
+    second = np.concatenate([_unplanes(x.as_py()) for x in table.column("second")]) if last else np.zeros(len(v), np.int64)
+    order, new = _by_pair(v, second)
     which = np.empty(len(v), np.int64)
     which[order] = np.cumsum(new) - 1
-    if table.column("least")[0].as_py():
+    if last:
         least = np.concatenate([_unplanes(x.as_py()) for x in table.column("least")])
         starts = np.flatnonzero(new)
         said = least == np.minimum.reduceat(least[order], starts)[which]
@@ -136,6 +158,7 @@ def remove_repeats(docs: DataFrame, *, n: int = 13, start: int = 7, text: str =
     columns are left aside. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    ship(spark)
     owners, groups, sizes = max(1, partitions(spark) // OWNED), GROUPS * partitions(spark), levels(start, n)
     dealt = internal(docs, doc_id=doc_id, text=text).select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), F.col("doc_id").cast("long"), "text")
 

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from llm import decontaminate, exact, neardup, queries, substring
 from tests.llm.conftest import ODD
@@ -191,3 +192,65 @@ def test_equal_hashes_are_told_apart(monkeypatch, docs, spark):
 
     w = decontaminate.words(pa.array(["x c d y"]), "plain")
     assert list(decontaminate.hits(w, w.hashes(), g)) == [(1, 2, [2])]
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15])
+def test_rows_by_keys(spark, monkeypatch, most):
+    from llm import cluster
+
+    monkeypatch.setattr(cluster, "BLOOM_BITS", most)
+    rows = spark.range(-3000, 9000).withColumnsRenamed({"id": "k"}).withColumns({"_place0": F.lit("clash"), "_Maybe": F.lit(1), "t": F.col("k").cast("string")})
+    keys = cluster.saved(spark.range(0, 20000, 3).select(F.col("id").alias("k")))
+    own = {x for x in range(0, 9000) if x % 3 == 0}
+    got = cluster.within(rows, keys, "k")
+    assert got.columns == rows.columns and sorted(r.k for r in got.collect()) == sorted(own)
+    rest = cluster.without(rows, keys, "k")
+    assert rest.columns == rows.columns and sorted(r.k for r in rest.collect()) == sorted(set(range(-3000, 9000)) - own)
+    none = cluster.saved(keys.limit(0))
+    assert cluster.within(rows, none, "k").count() == 0 and cluster.without(rows, none, "k").count() == 12000
+    passed = cluster.sieved(rows, keys, "k")[0].count()
+    assert passed >= len(own) and (most < 1 << 20 or passed < len(own) + 300)
+
+
+def test_suspects_do_not_depend_on_the_partitions(docs):
+    texts = [f"text {i % 40}" for i in range(60)] + [f"own {i}" for i in range(60)]
+    df = docs(texts).repartition(5, "doc_id")
+    files = exact.exchanged(df.select("text"))
+    alone = exact.told_apart(df, files)[1].count()
+    assert alone >= 60  # those of their own, and of the others none
+    for other in (df.repartition(2, "n_chars"), df.coalesce(1), df.repartition(9, "doc_id")):
+        rows = exact.told_apart(other, files)[1].select("text").collect()
+        assert not {r.text for r in rows} & {f"text {i}" for i in range(20)}
+
+
+def test_blocks_of_windows():
+    items = [(i, "\n".join(f"w{i}x{k}" for k in range(200))) for i in range(20)] + [(99, "one"), (98, None)]
+    got = list(decontaminate.blocks(items, 10, 1000))
+    assert sum(map(len, got)) == 20 * 191 + 1 and max(map(len, got)) <= 1000 and len(got) == 4
+    assert [len(g) for g in decontaminate.blocks(items[:2], 10, 5)] == [191, 191]
+
+
+def test_passes_over_blocks_give_the_same(spark, docs):
+    items = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 30}" for k in range(12))) for i in range(10)] + [(20, "a b"), (None, "b c")], "item_id long, text string")
+    texts = [" ".join(f"w{(i + k) % 30}" for k in range(40)) + " a b c" for i in range(6)] + [None, "", "a b"]
+    df = docs(texts, [None, 1, 1, *range(2, 8)])
+    one, many = (sorted(map(tuple, decontaminate.summary(decontaminate.decontaminate(df, items, block=b)).collect()), key=repr) for b in (10**6, 3))
+    assert one == many and any(r[2] for r in one)
+    left = [sorted((r.text for r in decontaminate.clean(df, items, block=b).collect()), key=repr) for b in (10**6, 3)]
+    assert left == [["", None]] * 2
+
+
+def test_equal_first_hashes_of_windows(monkeypatch, docs):
+    from llm.text import Words
+
+    real = Words.hashes
+    monkeypatch.setattr(Words, "hashes", lambda self, which=0: real(self, which) % 3 if which == 0 else real(self, which))
+    texts = [" ".join(f"w{(i * 31 + k * 17) % 97}" for k in range(40)) for i in range(12)]
+    texts += [texts[2], texts[5] + " x"]
+    import numpy as np
+    import pyarrow as pa
+
+    g = substring.Group(pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)}), [5], 4)
+    at, v, second, which, n = g.distinct(0)
+    grams = [" ".join(t.split()[i : i + 5]) for t in texts for i in range(len(t.split()) - 4)]
+    assert len(v) == len(set(grams)) and len(np.unique(v)) < len(v) and len(at) == len(grams)

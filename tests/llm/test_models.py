@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -274,6 +275,27 @@ def test_rejected_documents(docs):
     assert sorted(r.doc_id for r in language.known_language(df).collect()) == [0, 4]
     assert language.known_language(docs([])).collect() == []
 
+def test_training_rows_are_bounded(docs):
+    texts = [f"{'w ' * 20} password = hunter2hunter{i} {'x ' * 20}" if i % 2 else "plain words " * 20 for i in range(400)]
+    rows = secrets.training_rows(docs(texts).select("doc_id", "text"), 40)
+    every = secrets.training_rows(docs(texts).select("doc_id", "text"), 10**6)
+    picks = sorted((r.hit, r.pick, bytes(r.f)) for r in every)
+    assert len(rows) == 40 and sorted((r.hit, r.pick, bytes(r.f)) for r in rows) == sorted([p for p in picks if p[0]][:20] + [p for p in picks if not p[0]][:20])
+
+
+def test_decoding_of_a_long_text_is_not_quadratic():
+    rng = np.random.default_rng(1)
+    field = secrets.Field(np.zeros((1, 3), np.float32), np.array([[0, -1, secrets._NEVER], [0, -1, 1], [0, -1, 1]], np.float32))
+    took = []
+    for n in (20_000, 80_000):
+        s = np.zeros((n, 3), np.float32)
+        s[:, 1:] = -9
+        s[rng.random(n) < 0.05, 1:] = 3
+        began = time.perf_counter()
+        field.decode(s, np.array([0, n]))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.2
+
 
 # licenses
 
