@@ -6,8 +6,8 @@
    classes with a common prefix. Regions start at `depth` coordinates. A small one is compared in full: these are all its
    longest-common-prefix neighbours. A larger one is divided by deeper prefixes until its parts are small; at every depth
    each member is compared with the hub, the member that agrees with most of the others, and with its neighbours in
-   sorted order. A region too large for one task is dealt into chunks, whose hubs are compared with each other and the
-   best of them with all members.
+   sorted order. A region too large for one task is divided by deeper prefixes beforehand, and the hub of its largest
+   part compared with all members.
 3. Candidate pairs are confirmed on the full sets, made anew from the texts. The pairs of one document are dealt in
    chunks, so a hub with very many partners is no hot key.
 4. Confirmed links are contracted to components by alternating large-star and small-star steps.
@@ -172,7 +172,7 @@ def _labels(column: pa.ChunkedArray) -> np.ndarray:
 
 def _by_key(found, columns: tuple[str, ...], schema: str, names: list[str]):
     """For mapInArrow over rows sorted by the first columns: call found with the table of each key, batch or not."""
-    types = [pa.int64(), pa.int64(), pa.bool_()][: len(names)]
+    types = [pa.int64()] * len(names)
 
     def scan(batches):
         held: list[pa.RecordBatch] = []
@@ -209,34 +209,44 @@ def _by_key(found, columns: tuple[str, ...], schema: str, names: list[str]):
     return scan, schema
 
 
+def parted(trees: DataFrame, regions: DataFrame, large: int) -> DataFrame:
+    """region, part, wide, rep, n, label: the members of all regions (region, count) in parts of at most about so many.
+
+    A wide region is divided by deeper prefixes: each member goes to the shortest one that few enough share. Members that
+    too many share the deepest prefix with are dealt by their hash.
+    """
+    narrow = trees.join(regions.where(F.col("count") <= large).select("region"), "region").select("region", F.lit(0).cast("long").alias("part"), F.lit(False).alias("wide"), "rep", "n", "label")
+    wide = saved(regions.where(F.col("count") > large).select("region"), "wide")
+    if wide.isEmpty():
+        return narrow
+    deep = saved(trees.join(wide, "region"), "wide-members").select("region", "rep", "n", "label", F.explode(F.array(*map(F.lit, range(DEPTH + 1, DEEPEST + 1)))).alias("depth"))
+    deep = deep.withColumn("part", F.xxhash64("region", "depth", F.expr("substring(label, 1, 2 * depth)")))
+    crowded = saved(deep.groupBy("part").count().where(F.col("count") > large), "crowded")
+    here = F.struct("depth", "part", "count")
+    own = deep.join(crowded, "part", "left").groupBy("region", "rep").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min(F.when(F.col("count").isNull(), here)).alias("first"), F.max(here).alias("last"))
+    dealt = F.xxhash64("last.part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("last.count") / large)))
+    return narrow.unionByName(own.select("region", F.coalesce("first.part", dealt).alias("part"), F.lit(True).alias("wide"), "rep", "n", "label"))
+
+
 def candidates(trees: DataFrame, regions: DataFrame, ratio: float, small: int, large: int) -> DataFrame:
     """Distinct pairs hub, other of class representatives from all regions (region, count) of all trees."""
     parts = partitions(trees.sparkSession)
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("count") / large)).cast("int")
-    alive = trees.join(regions.select("region", chunks.alias("chunks")), "region").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
 
     def pairs(t: pa.Table):
         rep, n, label = t.column("rep").to_numpy(), t.column("n").to_numpy(), _labels(t.column("label"))
-        got = {(int(rep[x]), int(rep[y]), False) for x, y in _pairs_of(label, rep, n, ratio, small)} if len(t) > 1 else set()
-        if t.column("chunks")[0].as_py() > 1:  # the hub of a chunk, with its region
-            got.add((t.column("region")[0].as_py(), int(rep[_hub(label, rep)]), True))
+        got = {(int(rep[x]), int(rep[y]), 0) for x, y in _pairs_of(label, rep, n, ratio, small)} if len(t) > 1 else set()
+        if t.column("wide")[0].as_py():  # the hub of a part, with its region
+            got.add((t.column("region")[0].as_py(), int(rep[_hub(label, rep)]), len(t)))
         return got
 
-    scan, schema = _by_key(pairs, ("region", "chunk"), "hub long, other long, of_chunk boolean", ["hub", "other", "of_chunk"])
-    rows = alive.repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk").select("region", "chunk", "chunks", "rep", "n", "label")
+    scan, schema = _by_key(pairs, ("region", "part"), "hub long, other long, members long", ["hub", "other", "members"])
+    rows = parted(trees, regions, large).repartition(parts, "region", "part").sortWithinPartitions("region", "part").select("region", "part", "wide", "rep", "n", "label")
     found = saved(rows.mapInArrow(scan, schema), "candidates")
-    plain = found.where("not of_chunk").select("hub", "other")
-    # regions of several chunks: the chunks' hubs with each other's best, and that one with all members
-    hubs = found.where("of_chunk").select(F.col("hub").alias("region"), F.col("other").alias("rep"))
-    hubs = trees.join(hubs, ["region", "rep"])
-
-    def best(t: pa.Table):
-        rep = t.column("rep").to_numpy()
-        hub = int(rep[_hub(_labels(t.column("label")), rep)])
-        return {(t.column("region")[0].as_py(), hub)}
-
-    scan, schema = _by_key(best, ("region",), "region long, hub long", ["region", "hub"])
-    top = hubs.repartition(parts, "region").sortWithinPartitions("region").select("region", "rep", "label").mapInArrow(scan, schema)
+    plain = found.where("members = 0").select("hub", "other")
+    # in a region of several parts, the hub of its largest part is compared with all members
+    top = saved(found.where("members > 0").groupBy(F.col("hub").alias("region")).agg(F.max(F.struct("members", "other")).alias("m")).select("region", F.col("m.other").alias("hub")), "top")
+    if top.isEmpty():
+        return once(plain)
     stars = trees.select("region", "rep").join(top, "region").where("rep != hub").select("hub", F.col("rep").alias("other"))
     return once(plain.unionByName(stars))
 
