@@ -336,19 +336,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of all nodes in links (columns hub, other)."""
+    digest = lambda t: t.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = saved(links.select(F.greatest("hub", "other").alias("u"), F.least("hub", "other").alias("v")).where("u != v").distinct(), "links")
+    now = digest(edges)
     while True:
-        # large star: the larger neighbours of each node are tied to the smallest of its neighbours and itself
+        # large star: the larger neighbours of each node are tied to the smallest of its neighbours and itself; nodes with
+        # very many neighbours are broadcast
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = join_hot(both, least, "u", "degree", 2 * now.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = saved(small, "links")
-        same = after.groupBy().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.groupBy().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if same:
+        edges, before = saved(small, "links"), now
+        now = digest(edges)
+        if now == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
