@@ -109,7 +109,7 @@ def _bloom(keys: DataFrame, on: str) -> tuple[np.ndarray, int]:
     place = F.explode(F.array(*places(on, bits)))
     pages = keys.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("p") % (1 << 15)).alias("m"))
     out = np.zeros((bits >> 15, 1 << 12), np.uint8)
-    for r in pages.toLocalIterator():
+    for r in pages.collect():  # BLOOM_BITS at most
         out[r.page] = np.frombuffer(r.m, np.uint8)
     return out.ravel(), bits
 

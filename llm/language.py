@@ -89,7 +89,7 @@ def text_model(docs: DataFrame, *, text: str = "text", label: str = "lang") -> T
     if len(names) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} languages")
     table = np.zeros((BUCKETS, len(names) + 1))
-    for r in sums.toLocalIterator():
+    for r in sums.coalesce(1).toLocalIterator():  # BUCKETS times labels at most
         table[r.bucket, names.index(r.label)] = r.n
     table += SMOOTH
     table[:, -1] = 1.0

@@ -340,11 +340,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(links.select(F.greatest("hub", "other").alias("u"), F.least("hub", "other").alias("v")).where("u != v").distinct(), "links")
     now = digest(edges)
     while True:
-        # large star: the larger neighbours of each node are tied to the smallest of its neighbours and itself; nodes with
-        # very many neighbours are broadcast
+        # large star: the larger neighbours of each node are tied to the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = join_hot(both, least, "u", "degree", 2 * now.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -390,7 +389,9 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, percent: int = 80, text: str
         more = left_over(trees, wide, label, texts_of, n, ratio, large).select("hub", "other", F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi"))
         more = saved(more.join(tried, ["lo", "hi"], "left_anti").select("hub", "other"), "left-over")
         if not more.isEmpty():
-            label = components(found.unionByName(links(more)))
+            again = links(more)
+            if not again.isEmpty():
+                label = components(label.select(F.col("node").alias("hub"), F.col("component").alias("other")).unionByName(again))
     named = classes.join(label, classes["rep"] == label["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"), "size")
     named = saved(named, "named")
     known = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
