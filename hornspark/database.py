@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hornspark.engine import Engine, Program
 from hornspark.kinds import Kind
-from hornspark.lang.parser import parse_unit
 from hornspark.lang.syntax import LanguageError
 from hornspark.operators.relation import Relation
+from hornspark.sources.store import Log, program_of
 from hornspark.sources.tables import fingerprint
 
 
@@ -22,14 +22,17 @@ class Database:
 
     cache: a folder that Spark can reach. Results are kept there as Parquet with a manifest; they are used again while
     the program's hash and the fingerprints of all sources are the same. A source without a path makes no cache.
+    log: a folder in which changes are kept, a file for each change or batch; a database that is opened with it again
+    makes them again.
     """
 
-    def __init__(self, spark: SparkSession, *sources: str, tables: dict[str, Relation | DataFrame] | None = None, paths: dict[str, str] | None = None, cache: str | None = None):
+    def __init__(self, spark: SparkSession, *sources: str, tables: dict[str, Relation | DataFrame] | None = None, paths: dict[str, str] | None = None, cache: str | None = None, log: str | None = None):
         self.spark, self.sources = spark, sources
         self.paths = dict(paths or {})
         self.tables = dict(tables or {})
         self.cache = cache.rstrip("/") if cache and not self.tables else None
-        self._changes: list[tuple[str, str, tuple]] = []
+        self.log = Log(spark, log) if log else None
+        self._changes: list[tuple[str, str, tuple]] = self.log.changes() if self.log else []
         self._batch = 0
         self.reload()
 
@@ -99,6 +102,8 @@ class Database:
             except LanguageError:
                 self._changes.pop()
                 raise
+            if self.log:
+                self.log.append([(what, name, rows)])
             self._cached.clear()
 
     @contextlib.contextmanager
@@ -115,17 +120,13 @@ class Database:
             self._batch -= 1
         for what, name, rows in self._changes[start:]:
             getattr(self.program, what)(name, *rows)
+        if self.log:
+            self.log.append(self._changes[start:])
         self._cached.clear()
 
     def mutation_log(self) -> str:
         """The changes as a program: facts, and facts of __retract__ relations."""
-        from hornspark.sources.formats import RETRACT
-        from hornspark.values import term
-
-        lines = [f"{RETRACT if w == 'retract' else ''}{n}({', '.join(str(term(v)) for v in r)})." for w, n, rows in self._changes for r in rows]
-        for line in lines:
-            parse_unit(line)
-        return "\n".join(lines)
+        return program_of(self._changes)
 
 
 def _kind_json(k: Kind) -> list:

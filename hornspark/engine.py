@@ -62,6 +62,7 @@ class Program:
         self.bounds = Bounds(self.unit.decls)
         self._arities()
         self._done: dict[str, Relation] = {}
+        self._shapes: dict[str, tuple] = {}
 
     # shape
 
@@ -91,7 +92,12 @@ class Program:
         if name in self.heads:
             raise LanguageError(f"{name} has clauses, so it cannot also be an outside table")
         self.outside[name] = table if isinstance(table, Relation) else from_frame(table)
+        self._forget()
+
+    def _forget(self) -> None:
+        """What was made and inferred of relations may not hold any more."""
         self._done.clear()
+        self._shapes.clear()
 
     def insert(self, name: str, *rows: tuple) -> None:
         """State more facts. Results are made anew when next asked for."""
@@ -126,7 +132,7 @@ class Program:
                 self.outside[name] = union([now, r]) if add else minus(now, r)
         elif add:
             self.outside[name] = r
-        self._done.clear()
+        self._forget()
 
     # checking
 
@@ -140,8 +146,6 @@ class Program:
         return self._typed(name)[0]
 
     def _typed(self, name: str):
-        if not hasattr(self, "_shapes"):
-            self._shapes = {}
         if name not in self._shapes:
             stratum = next((s for s in self.strata if name in s.names), Stratum(frozenset([name]), False))
             if name not in self.heads:

@@ -6,6 +6,7 @@ binding is fetched for each premise level and no lineage is kept while programs
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ class Derivation:
     rule: str | None = None
     premises: list[Derivation] = field(default_factory=list)
     absent: list[str] = field(default_factory=list)
-    cut: str | None = None  # cycle or depth
+    cut: str | None = None  # depth
 
     def json(self) -> dict:
         return {"relation": self.relation, "args": [str(term(v)) for v in self.row], "rule": self.rule, "premises": [p.json() for p in self.premises], "absent": self.absent, "cut": self.cut}
@@ -66,11 +67,13 @@ def _derive(program: Program, name: str, row: tuple, depth: int, above: tuple) -
                     return found
     if name not in program.heads:
         return Derivation(name, row)
-    return Derivation(name, row, cut="cycle") if above else Derivation(name, row, rule="(coalesced)" if name in program.temporal else None)
+    if name in program.temporal:
+        return Derivation(name, row, rule="(coalesced)")
+    return None  # only by a fact above it, so whoever asked tries another binding
 
 
-def _bindings(program: Program, c: Clause, row: tuple, most: int = 50) -> list[dict]:
-    """Some bindings of the body's variables for which the rule gives the row."""
+def _bindings(program: Program, c: Clause, row: tuple) -> Iterator[dict]:
+    """All bindings of the body's variables for which the rule gives the row, part by part."""
     if c.grouped:
         keys = [a.name for a in c.steps[0].call.args]
         c = replace(c, steps=())
@@ -79,7 +82,7 @@ def _bindings(program: Program, c: Clause, row: tuple, most: int = 50) -> list[d
     else:
         tests = [Compare("=", t, term(v)) for t, v in zip(c.head.terms, row, strict=True) if not isinstance(t, Const) or constant(t) != v]
         if any(isinstance(t, Const) and constant(t) != v for t, v in zip(c.head.terms, row, strict=True)):
-            return []
+            return
     names = {v for p in c.body for v in variables(p)}
     # lets are folded into the head's tests
     lets = tuple(Compare("=", Var(s.var), s.call) for s in c.steps)
@@ -94,11 +97,9 @@ def _bindings(program: Program, c: Clause, row: tuple, most: int = 50) -> list[d
     body.build()
     own = sorted(n for n in names if n in body.slots)
     slots = [body.slots[n] for n in own]
-    out = []
     cols = [(F.unix_micros(s.column) if s.kind.name == "time" else F.col(s.column)).alias(f"c{i}") for i, s in enumerate(slots)]
-    for r in body.frame().select(*cols).limit(most).collect():
-        out.append({n: micros_time(v) if s.kind.name == "time" else python_value(v, s.kind) for n, s, v in zip(own, slots, r, strict=True)})
-    return out
+    for r in body.frame().select(*cols).toLocalIterator():
+        yield {n: micros_time(v) if s.kind.name == "time" else python_value(v, s.kind) for n, s, v in zip(own, slots, r, strict=True)}
 
 
 def _with(program: Program, c: Clause, env: dict, row: tuple, depth: int, path: tuple) -> Derivation | None:

@@ -26,9 +26,10 @@ class Service:
         self.lock = threading.Lock()
 
     def load(self, name: str, source: str) -> dict:
-        program = self.engine.program(source)
+        program = self.engine.program(source, check=False)
         for n in program.undefined & set(self.tables):
             program.bind(n, self.tables[n])
+        program.check()
         self.sources[name], self.programs[name] = source, program
         return self.described(name)
 

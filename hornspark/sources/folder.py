@@ -25,7 +25,7 @@ def read_folder(spark: SparkSession, path: str) -> Facts:
         p = Engine(spark).program(source)
         for n in p.relations():
             found.setdefault(n, []).extend(p.relation(n).rows())
-    once = {n: [r for i, r in enumerate(rows) if r not in rows[:i]] if len(rows) < 1000 else _once(rows) for n, rows in found.items()}
+    once = {n: _once(rows) for n, rows in found.items()}
     return without_retracted(once)
 
 

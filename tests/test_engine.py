@@ -244,3 +244,38 @@ def test_plans(spark, sf):
 def test_cross_kind_filters_reach_the_scan(spark, sf):
     p = Engine(spark).program("q(O) :- orders(O, _, _, _, D, _), D >= 1995-01-01.", tables={"orders": from_frame(spark.read.parquet(f"{sf}/orders.parquet"), not_null=True)})
     assert "GreaterThanOrEqual(o_orderdate" in plan(p.relation("q").df)
+
+
+def test_derivations_do_not_rest_on_themselves(spark):
+    """Many neighbours that are reached only through the node itself, and one real path."""
+    edges = "".join(f"edge(/z, /a{i}). edge(/a{i}, /z). " for i in range(12))
+    p = Engine(spark).program(f"start(/zz). {edges} edge(/zz, /z). r(X) :- start(X). r(Y) :- r(X), edge(X, Y).")
+
+    def proved(d, above):
+        assert (d.relation, d.row) not in above and d.cut is None
+        for x in d.premises:
+            proved(x, (*above, (d.relation, d.row)))
+
+    d = derive(p, "r(/z)")
+    proved(d, ())
+    assert d.premises[0].row == ("/zz",)
+    below = derive(p, "r(/a3)")
+    proved(below, ())
+
+
+def test_kinds_follow_what_is_bound(spark):
+    p = Engine(spark).program("q(X, Y) :- t(X, Y).")
+    assert [k.name for k in p.kinds("q")] == ["bot", "bot"]
+    p.bind("t", spark.createDataFrame([(1, "a")], "a long, b string"))
+    assert [k.name for k in p.kinds("q")] == ["number", "string"]
+    p.insert("t", (2, "b"))
+    assert [k.name for k in p.kinds("q")] == ["number", "string"]
+
+
+def test_bindings_on_the_driver_are_bounded(spark, monkeypatch):
+    from hornspark.plans import local
+
+    monkeypatch.setattr(local, "DERIVED", 1000)
+    source = "r(X) :- a(X, _). r(Y) :- r(X), a(X, K), b(K, Y)."
+    facts = {"a": [(i, 0) for i in range(60)], "b": [(0, i) for i in range(60)]}
+    assert Engine(spark).program(source, facts=facts).relation("r").facts() == {(i,) for i in range(60)}

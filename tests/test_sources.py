@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from hornspark import Database, Engine, LanguageError, Name
-from hornspark.sources import tables
+from hornspark.sources import store, tables
 from hornspark.sources.folder import read_folder
 from hornspark.sources.formats import read_columns, read_rows, without_retracted, write_columns, write_rows
 from hornspark.streaming import Live
@@ -125,3 +125,35 @@ def test_streams(spark, tmp_path):
     (source / "2.json").write_text(json.dumps({"a": 2, "b": 3}) + "\n")
     feed()
     assert seen[0] == {(1, 2)} and seen[-1] == {(1, 2), (2, 3), (1, 3)}
+
+
+def test_saved_programs(spark, tmp_path):
+    p = Engine(spark).program('e(1, "a"). e(2, "b"). q(X) :- e(X, _), X > 1. none(X) :- e(X, _), X > 5.')
+    for form in ("rows", "columns"):
+        path = f"file://{tmp_path}/{form}.gz"
+        store.save(p, path, form=form, compress="gzip")
+        assert store.load(spark, path, form=form) == {"e": [(1, "a"), (2, "b")], "none": [], "q": [(2,)]}
+        store.save(p, path, ["q"], form=form)
+        assert store.load(spark, path, form=form) == {"q": [(2,)]}
+    store.save_query(p, 'e(X, "b")', f"{tmp_path}/one")
+    assert store.load(spark, f"{tmp_path}/one") == {"e": [(2, "b")]}
+    with pytest.raises(LanguageError):
+        store.save(p, f"{tmp_path}/x", form="pages")
+
+
+def test_changes_survive(spark, tmp_path):
+    source, log = "q(X) :- e(X, _). e(1, 2).", f"{tmp_path}/log"
+    db = Database(spark, source, log=log)
+    db.insert("e", (2, 3), (3, 4))
+    db.retract("e", (1, 2))
+    with pytest.raises(ZeroDivisionError), db.batch():
+        db.insert("e", (9, 9))
+        raise ZeroDivisionError
+    with pytest.raises(LanguageError):
+        db.insert("q", (7,))
+    with db.batch():
+        db.insert("e", (5, 6))
+        db.retract("e", (2, 3))
+    for again in (Database(spark, source, log=log), db):
+        assert again.query("q").facts() == {(3,), (5,)}
+    assert len(list((tmp_path / "log").glob("*.mg"))) == 3
