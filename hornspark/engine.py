@@ -91,7 +91,10 @@ class Program:
     def bind(self, name: str, table: DataFrame | Relation) -> None:
         if name in self.heads:
             raise LanguageError(f"{name} has clauses, so it cannot also be an outside table")
-        self.outside[name] = table if isinstance(table, Relation) else from_frame(table)
+        r = table if isinstance(table, Relation) else from_frame(table)
+        if self.check_bounds:
+            self.bounds.check_kinds(name, r.kinds)
+        self.outside[name] = r
         self._forget()
 
     def _forget(self) -> None:

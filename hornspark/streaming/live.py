@@ -2,7 +2,8 @@
 
 Rows of a stream are appended, with the number of their micro-batch, to a Parquet table that stands for the relation; a
 batch that comes again after a failure replaces its own part, so each row counts once. After each batch the relations
-that are watched are evaluated and given to their listeners.
+that are watched are evaluated and given to their listeners. They are evaluated anew over all that has come, from ever more
+files, so batches should be few and large; relations that nobody watches cost nothing.
 """
 
 from __future__ import annotations

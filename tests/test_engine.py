@@ -279,3 +279,15 @@ def test_bindings_on_the_driver_are_bounded(spark, monkeypatch):
     source = "r(X) :- a(X, _). r(Y) :- r(X), a(X, K), b(K, Y)."
     facts = {"a": [(i, 0) for i in range(60)], "b": [(0, i) for i in range(60)]}
     assert Engine(spark).program(source, facts=facts).relation("r").facts() == {(i,) for i in range(60)}
+
+
+def test_outside_tables_keep_declared_bounds(spark):
+    df = spark.createDataFrame([(1, "a")], "a long, b string")
+    for bounds, fits in (("[/number, /string]", True), ("[/string, /string]", False), ("[/string, /string] bound [/number, /string]", True), ("[/number, /number]", False)):
+        source = f"Decl t(X, Y) bound {bounds}. q(X) :- t(X, _)."
+        if fits:
+            assert Engine(spark).program(source, tables={"t": df}).relation("q").facts() == {(1,)}
+        else:
+            with pytest.raises(LanguageError, match="bounds"):
+                Engine(spark).program(source, tables={"t": df})
+            assert Engine(spark).program(source, tables={"t": df}, check_bounds=False).relation("q").facts() == {(1,)}
