@@ -1,19 +1,20 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of n-grams, counted in Spark and scored from memory-mapped sorted hash arrays.
 
-Training. Tasks count the bigrams of their documents and send each owner one block, sorted by context and coded in planes
-of bytes. An owner adds up the counts of its bigrams, writes them to the shared folder as a sorted array of 64-bit hashes
-with an array of counts, and sends what each word needs (as a context: how often, and with how many words once, twice, or
-more; as a word: after how many different words) to the owner of that word, which writes the word arrays in the same way.
+Training. Tasks count the n-grams of their documents and send each owner one block, sorted by context and coded in planes
+of bytes. An owner adds up the counts of its grams, writes them to the shared folder as a sorted array of 64-bit hashes
+with arrays of counts, and sends what the next shorter grams need (as a context: how often, and with how many words once,
+twice, or more; as a gram: after how many different words) to their owners, which do the same, down to single words.
 The successors of one context are dealt to several owners, so a frequent word is no hot key. Only sums come to the driver.
 
 Scoring. A task maps the arrays and looks the sorted hashes of a piece of text up; nothing is shuffled.
 
-Probabilities, with a(w) the number of different words before w, A their sum, V the number of different tokens:
-    p1(w) = max(a(w) - D(a(w)), 0) / A + g / (V + 1), where the g's are what the discounts leave
-    p(w|v) = max(c(vw) - D'(c(vw)), 0) / c(v.) + g(v) p1(w); after a context never seen, p1(w)
+Probabilities. Each text has n - 1 starts before it and one end. With c(g) the count of an n-gram and, for a shorter gram,
+the number of different words before it, and c(h.) the sum over the words after h:
+    p1(w) = max(c(w) - D1(c(w)), 0) / c(.) + g / (V + 1), V different tokens, where the g's are what the discounts leave
+    pk(w|h) = max(c(hw) - Dk(c(hw)), 0) / c(h.) + g(h) pk-1(w|h without its first word); after a context never seen, pk-1
 The last class of p1 is for words never seen, so all of it sums to 1.
 
-Words are known by 64-bit hashes where tokens are counted, and by 48 of these bits within bigrams.
+Words are known by 64-bit hashes where tokens are counted, and by 48 of these bits within grams.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from llm.cluster import internal, partitions, shared_dir, ship
@@ -34,7 +36,7 @@ from llm.text import mix, pieces, words
 U = np.uint64
 #: The end of a text, a token, and its start, a context only. Words' hashes come from a bijection of other values.
 END, START = U(0xE0D0_0000_51F1_7A3B), U(0x57A2_0000_9C4D_11E5)
-#: Bigrams that a task holds before it counts and sends them.
+#: Tokens that a task holds before it counts and sends them.
 HELD = 2_000_000
 #: Owners among which the successors of one context are dealt.
 SPREAD = 8
@@ -55,14 +57,21 @@ def _unplanes(b: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sequences(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and tokens of all bigrams, start and end included, and where each text's begin."""
-    return np.insert(h, first[:-1], START), np.insert(h, first[1:], END), first + np.arange(len(first))
+def sequences(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts with n - 1 starts before and an end after each, and where each text's tokens begin when starts are left out."""
+    at = np.repeat(first[:-1], n).reshape(-1, n)
+    at[:, -1] = first[1:]
+    marks = np.full(at.shape, START)
+    marks[:, -1] = END
+    return np.insert(h, at.ravel(), marks.ravel()), first + np.arange(len(first))
 
 
-def bigram_key(ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    """Of 48-bit words."""
-    return mix(mix(ctx + U(1)) + tok)
+def gram_key(grams: list[np.ndarray]) -> np.ndarray:
+    """Of 48-bit words: that of one more word w is mix(key + w)."""
+    key = mix(grams[0] + U(1))
+    for w in grams[1:]:
+        key = mix(key + w)
+    return key
 
 
 @dataclass(frozen=True)
@@ -75,8 +84,9 @@ class Layout:
     def spread(self) -> int:
         return min(SPREAD, self.owners)
 
-    def bigram(self, ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-        base = ((ctx >> U(16)) * U(self.owners // self.spread)) >> U(32)
+    def gram(self, ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
+        """By the key of the words before and the last word."""
+        base = ((ctx >> U(32)) * U(self.owners // self.spread)) >> U(32)
         return (base * U(self.spread) + tok % U(self.spread)).astype(np.int64)
 
     def word(self, word48: np.ndarray) -> np.ndarray:
@@ -102,19 +112,88 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-_SENT = "kind string, owner int, ctx binary, runs binary, keys binary, counts binary"
-_WORDS = "owner int, kind string, keys binary, values binary, c1 long, c2 long, c3 long, c4 long, n long"
-_SUMS = "owner int, tokens long, kinds long, b1 long, b2 long, b3 long, b4 long, bigrams long, w1 long, w2 long, w3 long, w4 long, w_more long"
+def _packed(keys: np.ndarray, values: list[np.ndarray]) -> bytes:
+    """Sorted keys, and columns of counts: a byte each, from 255 on in a list."""
+    big = [np.flatnonzero(c >= 255) for c in values]
+    head = np.array([len(keys), *map(len, big)], np.int64)
+    lists = b"".join(at.astype(np.int64).tobytes() + c[at].astype(np.int64).tobytes() for at, c in zip(big, values, strict=True))
+    return head.tobytes() + keys.tobytes() + lists + b"".join(np.minimum(c, 255).astype(np.uint8).tobytes() for c in values)
 
 
-def _rows(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
-    return pa.table([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], [n for n, _ in schema])
+def _unpacked(m: memoryview, columns: int):
+    n, *big = (int(x) for x in np.frombuffer(m, np.int64, 1 + columns))
+    at = 8 * (1 + columns)
+    keys, at, lists = np.frombuffer(m, U, n, at), at + 8 * n, []
+    for k in big:
+        lists.append((np.frombuffer(m, np.int64, k, at), np.frombuffer(m, np.int64, k, at + 8 * k)))
+        at += 16 * k
+    return keys, [(np.frombuffer(m, np.uint8, n, at + i * n), *x) for i, x in enumerate(lists)]
 
 
-_SENT_T = [("kind", pa.string()), ("owner", pa.int32()), ("ctx", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())]
-_WORDS_T = [("owner", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("values", pa.binary()), *[(f"c{i}", pa.int64()) for i in (1, 2, 3, 4)], ("n", pa.int64())]
-_SUMS_T = [(x.split()[0], pa.int32() if x.split()[1] == "int" else pa.int64()) for x in _SUMS.split(", ")]
+def _counts(column, k: np.ndarray) -> np.ndarray:
+    small, at, value = column
+    c = small[k].astype(np.int64)
+    if (hot := c == 255).any():
+        c[hot] = value[np.searchsorted(at, k[hot])]
+    return c
+
+
+_FIELDS = "part string, kind string, level int, owner int, ctx binary, runs binary, keys binary, counts binary, c1 long, c2 long, c3 long, c4 long, n long"
+_SUMS = "level int, c1 long, c2 long, c3 long, c4 long, n long, more long, tokens long, kinds long"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(rows: list[tuple], fields: str) -> pa.Table:
+    names = [x.split() for x in fields.split(", ")]
+    cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.table([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, names, strict=True)], [n for n, _ in names])
+
+
+def _row(part: str, kind: str, level: int, owner: int, keys: bytes = b"", counts: bytes = b"", ctx: bytes = b"", runs: bytes = b"", sums: tuple = (0, 0, 0, 0, 0)) -> tuple:
+    return (part, kind, level, owner, ctx, runs, keys, counts, *sums)
+
+
+def _blocks(grams: list[np.ndarray], c: np.ndarray, layout: Layout) -> list[tuple]:
+    """Distinct grams and their counts for each owner; words before the last are sent once for each run of their successors."""
+    *before, tok = grams
+    k = len(grams)
+    if not before:
+        order = np.argsort(tok)
+        tok, c = tok[order], c[order]
+        return [_row("gram", "tok", 1, o, _planes(tok[a:b], 6), _planes(c[a:b], 8)) for o, a, b in _split(layout.word(tok), layout.owners)]
+    ctx = gram_key(before)
+    owner = layout.gram(ctx, tok)
+    order = np.lexsort((tok, ctx, owner))
+    before, tok, c, ctx, owner = [w[order] for w in before], tok[order], c[order], ctx[order], owner[order]
+    rows = []
+    for o, a, b in _split(owner, layout.owners):
+        new = np.flatnonzero(np.concatenate(([True], ctx[a + 1 : b] != ctx[a : b - 1])))
+        runs = np.diff(np.append(new, b - a))
+        rows.append(_row("gram", "tok", k, o, _planes(tok[a:b], 6), _planes(c[a:b], 8), b"".join(_planes(w[a:b][new], 6) for w in before), _planes(runs, 4)))
+    return rows
+
+
+def _grams(ctx: list[bytes], runs: list[bytes], keys: list[bytes], k: int) -> list[np.ndarray]:
+    tok = np.concatenate([_unplanes(x, 6) for x in keys])
+    times = [_unplanes(r, 4).astype(np.int64) for r in runs]
+    size = [6 * len(t) for t in times]
+    return [*(np.concatenate([np.repeat(_unplanes(x[i * s : (i + 1) * s], 6), t) for x, s, t in zip(ctx, size, times, strict=True)]) for i in range(k - 1)), tok]
+
+
+def _distinct(keys: np.ndarray, grams: list[np.ndarray], *values: np.ndarray) -> tuple:
+    """Sorted distinct keys, their grams, and the sums of the values of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return (keys[at], [w[order[at]] for w in grams], *(np.add.reduceat(v[order], at) if len(at) else v for v in values))
+
+
+def _stats(parts: list[tuple[bytes, bytes]], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys as contexts, and how often, and with how many words once, twice, or more."""
+    keys = np.concatenate([_unplanes(k, width) for k, _ in parts])
+    values = [np.concatenate([_unplanes(v[i * len(v) // 4 : (i + 1) * len(v) // 4], 8) for _, v in parts]).astype(np.int64) for i in range(4)]
+    keys, *values = _summed(keys, *values)
+    return keys, values
 
 
 @dataclass(frozen=True)
@@ -124,10 +203,14 @@ class Model:
     tokens: int
     kinds: int
     bigrams: int
-    discount: tuple[float, float, float]
-    word_discount: tuple[float, float, float]
+    #: Of single words, of pairs, and so on.
+    discount: tuple[tuple[float, float, float], ...]
     word_left: float
 
+    @property
+    def order(self) -> int:
+        return len(self.discount)
+
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Of counts 1, 2 and 3 or more; where counts of counts are missing, the discount is half the count's step."""
@@ -142,8 +225,13 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
 
 
-def train(docs: DataFrame, *, text: str = "text", where: Column | None = None) -> Model:
-    """Count all texts (of the rows that where holds for). Null texts are empty: a start and an end."""
+def train(docs: DataFrame, *, order: int = 2, text: str = "text", where: Column | None = None) -> Model:
+    """Count the grams of up to `order` words, 2 at least, of all texts (of the rows that where holds for).
+
+    Null texts are empty: starts and an end.
+    """
+    if order < 2:
+        raise ValueError("a model needs grams of two words or more")
     spark = docs.sparkSession
     ship(spark)
     layout = Layout(max(1, 2 * partitions(spark) // SPREAD) * SPREAD)
@@ -153,104 +241,113 @@ def train(docs: DataFrame, *, text: str = "text", where: Column | None = None) -
         held, size = [], 0
 
         def flush():
-            ctx, tok = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = []
-            words64, c = np.unique(tok, return_counts=True)
-            for o, a, b in _split(layout.word(words64 >> U(16)), layout.owners):
-                rows.append(("word", o, None, None, _planes(words64[a:b], 8), _planes(c[a:b], 4)))
-            ctx, tok = ctx >> U(16), tok >> U(16)
-            _, at, c = np.unique(bigram_key(ctx, tok), return_index=True, return_counts=True)
-            ctx, tok = ctx[at], tok[at]
-            owner = layout.bigram(ctx, tok)
-            order = np.lexsort((tok, ctx, owner))
-            ctx, tok, c, owner = ctx[order], tok[order], c[order], owner[order]
-            for o, a, b in _split(owner, layout.owners):
-                new = np.flatnonzero(np.concatenate(([True], ctx[a + 1 : b] != ctx[a : b - 1])))
-                runs = np.diff(np.append(new, b - a))
-                rows.append(("bigram", o, _planes(ctx[a:b][new], 6), _planes(runs, 4), _planes(tok[a:b], 6), _planes(c[a:b], 4)))
-            return _rows(rows, _SENT_T).to_batches()
+            padded = np.concatenate(held)
+            at = np.flatnonzero(padded != START)
+            words64, c = np.unique(padded[at], return_counts=True)
+            rows = [_row("word", "word", 1, o, _planes(words64[a:b], 8), _planes(c[a:b], 8)) for o, a, b in _split(layout.word(words64 >> U(16)), layout.owners)]
+            padded >>= U(16)
+            grams = [padded[at - order + 1 + j] for j in range(order)]
+            del padded, at
+            _, grams, c = _distinct(gram_key(grams), grams, np.ones(len(grams[0]), np.int64))
+            return _rows(rows + _blocks(grams, c, layout), _FIELDS).to_batches()
 
         for batch in batches:
             for i, j in pieces(batch.column(0)):
                 w = words(batch.column(0).slice(i, j - i), "space", lower=True)
-                ctx, tok, _ = sequences(w.hashes(), w.first)
-                held.append((ctx, tok))
-                size += len(tok)
+                held.append(sequences(w.hashes(), w.first, order)[0])
+                size += len(held[-1])
                 if size >= HELD:
                     yield from flush()
                     held, size = [], 0
         if size:
             yield from flush()
 
-    def add_up(key, table):
-        kind, o = key[0].as_py(), key[1].as_py()
-        cols = {n: table.column(n).to_pylist() for n in ("ctx", "runs", "keys", "counts")}
-        counts = np.concatenate([_unplanes(x, 4) for x in cols["counts"]]).astype(np.int64)
-        if kind == "word":
-            keys, c = _summed(np.concatenate([_unplanes(x, 8) for x in cols["keys"]]), counts)
-            return _rows([(o, "word", _planes(keys, 8), _planes(c, 8), 0, 0, 0, 0, 0)], _WORDS_T)
-        tok = np.concatenate([_unplanes(x, 6) for x in cols["keys"]])
-        ctx = np.concatenate([np.repeat(_unplanes(x, 6), _unplanes(r, 4).astype(np.int64)) for x, r in zip(cols["ctx"], cols["runs"], strict=True)])
-        del cols
-        full = bigram_key(ctx, tok)
-        order = np.argsort(full)
-        keys = full[order]
-        del full
-        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, c, order = keys[at], np.add.reduceat(counts[order], at), order[at]
-        ctx, tok = ctx[order], tok[order]
-        del order, counts
-        big = np.flatnonzero(c >= 255)
-        files.put(f"bigram-{o}", np.array([len(keys), len(big)], np.int64).tobytes() + keys.tobytes() + big.astype(np.int64).tobytes() + c[big].tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes())
-        rows = []
-        word, total, n1, n2, n3 = _summed(ctx, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-        for p, a, b in _split(layout.word(word), layout.owners):
-            rows.append((p, "ctx", _planes(word[a:b], 6), b"".join(_planes(x[a:b], 8) for x in (total, n1, n2, n3)), 0, 0, 0, 0, 0))
-        word, before = _summed(tok, np.ones(len(tok), np.int64))
-        for p, a, b in _split(layout.word(word), layout.owners):
-            rows.append((p, "tok", _planes(word[a:b], 6), _planes(before[a:b], 8), 0, 0, 0, 0, 0))
-        rows.append((o, "sum", b"", b"", *_counts_of_counts(c), len(c)))
-        return _rows(rows, _WORDS_T)
+    def level(k: int):
+        """Add up grams of k words, write them, and say what those of k - 1 need."""
+
+        def add_up(key, table):
+            part, o = key[0].as_py(), key[1].as_py()
+            if part == "sum":
+                return table
+            if part == "word":
+                keys, c = (np.concatenate([_unplanes(x, 8) for x in table.column(n).to_pylist()]) for n in ("keys", "counts"))
+                keys, c = _summed(keys, c)
+                return _rows([_row("word", "word", 1, o, _planes(keys, 8), _planes(c, 8))], _FIELDS)
+            tok = table.filter(pc.equal(table.column("kind"), "tok"))
+            as_ctx = table.filter(pc.equal(table.column("kind"), "ctx"))
+            if tok.num_rows:
+                grams = _grams(*(tok.column(n).to_pylist() for n in ("ctx", "runs", "keys")), k)
+                c = np.concatenate([_unplanes(x, 8) for x in tok.column("counts").to_pylist()]).astype(np.int64)
+            else:
+                grams, c = [np.zeros(0, U)] * k, np.zeros(0, np.int64)
+            del tok
+            keys, grams, c = _distinct(gram_key(grams), grams, c)
+            if k == order:
+                files.put(f"gram{k}-{o}", _packed(keys, [c]))
+            else:
+                ctx_keys, stats = _stats(list(zip(as_ctx.column("keys").to_pylist(), as_ctx.column("counts").to_pylist(), strict=True)), 8) if as_ctx.num_rows else (np.zeros(0, U), [np.zeros(0, np.int64)] * 4)
+                every = np.union1d(keys, ctx_keys)
+                cols = np.zeros((5, len(every)), np.int64)  # different words before; total, n1, n2, n3 as a context
+                cols[0, np.searchsorted(every, keys)] = c
+                cols[1:, np.searchsorted(every, ctx_keys)] = stats
+                files.put(f"gram{k}-{o}", _packed(every, list(cols)))
+            rows = [_row("sum", "sum", k, o, sums=(*_counts_of_counts(c), len(c)))]
+            ctx, first, *stats = _distinct(gram_key(grams[:-1]), grams[:-1], c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
+            owner = layout.gram(gram_key(first[:-1]), first[-1]) if k > 2 else layout.word(first[0])
+            by = np.argsort(owner, kind="stable")
+            sent, width = (ctx[by], 8) if k > 2 else (first[0][by], 6)
+            for p, a, b in _split(owner[by], layout.owners):
+                rows.append(_row("gram", "ctx", k - 1, p, _planes(sent[a:b], width), b"".join(_planes(x[by[a:b]], 8) for x in stats)))
+            _, last, before = _distinct(gram_key(grams[1:]), grams[1:], np.ones(len(c), np.int64))
+            return _rows(rows + _blocks(last, before, layout), _FIELDS)
+
+        return add_up
 
     def finish(key, table):
         o = key[0].as_py()
         part = {k: [] for k in ("word", "ctx", "tok")}
-        for kind, keys, values in zip(*(table.column(n).to_pylist() for n in ("kind", "keys", "values")), strict=True):
-            if kind != "sum":
+        rows = []
+        for kind, keys, values, *sums in zip(*(table.column(n).to_pylist() for n in ("kind", "keys", "counts", "level", "c1", "c2", "c3", "c4", "n")), strict=True):
+            if kind == "sum":
+                rows.append((*sums, 0, 0, 0))
+            else:
                 part[kind].append((keys, values))
         word, c = _summed(*(np.concatenate([_unplanes(x[i], 8) for x in part["word"]] or [np.zeros(0, U)]).astype(t) for i, t in ((0, U), (1, np.int64))))
         if any(int(START >> U(16)) in _unplanes(k, 6) for k, _ in part["ctx"]):
             word, c = _summed(np.append(word, START), np.append(c, 0))
         brief = word >> U(16)
         cols = np.zeros((5, len(word)), np.int64)  # total, n1, n2, n3 as a context; different words before
-        for kind, at, width in (("ctx", 0, 4), ("tok", 4, 1)):
-            if part[kind]:
-                keys = np.concatenate([_unplanes(k, 6) for k, _ in part[kind]])
-                values = [np.concatenate([_unplanes(v[i * len(v) // width : (i + 1) * len(v) // width], 8) for _, v in part[kind]]).astype(np.int64) for i in range(width)]
-                keys, *values = _summed(keys, *values)
-                k = np.minimum(np.searchsorted(keys, brief), len(keys) - 1)
-                for i, v in enumerate(values):
-                    cols[at + i] = np.where(keys[k] == brief, v[k], 0)
+        found = [(slice(0, 4), *_stats(part["ctx"], 6))] if part["ctx"] else []
+        if part["tok"]:
+            keys, before = _summed(*(np.concatenate([_unplanes(x[i], w) for x in part["tok"]]) for i, w in ((0, 6), (1, 8))))
+            found.append((slice(4, 5), keys, [before.astype(np.int64)]))
+        for at, keys, values in found:
+            k = np.minimum(np.searchsorted(keys, brief), len(keys) - 1)
+            cols[at] = np.where(keys[k] == brief, np.array(values)[:, k], 0)
         cols[4][c == 0] = 0
         files.put(f"word-{o}", np.array([len(word)], np.int64).tobytes() + word.tobytes() + c.tobytes() + cols.tobytes())
         a = cols[4]
-        sums = [int(np.asarray(table.column(n)).sum()) for n in ("c1", "c2", "c3", "c4", "n")]
-        return _rows([(o, int(c.sum()), int((c > 0).sum()), *sums, *_counts_of_counts(a), int((a > 2).sum()))], _SUMS_T)
+        rows.append((1, *_counts_of_counts(a), 0, int((a > 2).sum()), int(c.sum()), int((c > 0).sum())))
+        return _rows(rows, _SUMS)
 
     used = docs if where is None else docs.where(where)
-    sent = internal(used, text=text).mapInArrow(count, _SENT)
-    sums = sent.groupBy("kind", "owner").applyInArrow(add_up, _WORDS).groupBy("owner").applyInArrow(finish, _SUMS)
-    total = sums.groupBy().agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n, _ in _SUMS_T[1:]]).first()
-    d, wd = discounts(total.b1, total.b2, total.b3, total.b4), discounts(total.w1, total.w2, total.w3, total.w4)
-    left = (wd[0] * total.w1 + wd[1] * total.w2 + wd[2] * total.w_more) / total.bigrams if total.bigrams else 1.0
-    return Model(files, layout, total.tokens, total.kinds, total.bigrams, d, wd, left)
+    sent = internal(used, text=text).mapInArrow(count, _FIELDS)
+    for k in range(order, 1, -1):
+        sent = sent.groupBy("part", "owner").applyInArrow(level(k), _FIELDS)
+    sums = sent.groupBy("owner").applyInArrow(finish, _SUMS).groupBy("level")
+    none = dict.fromkeys(("c1", "c2", "c3", "c4", "n", "more", "tokens", "kinds"), 0)
+    total = {k: none for k in range(1, order + 1)} | {r.level: r.asDict() for r in sums.agg(*[F.sum(n).alias(n) for n in none]).collect()}
+    d = tuple(discounts(*(total[k][f"c{i}"] for i in (1, 2, 3, 4))) for k in range(1, order + 1))
+    one, bigrams = total[1], total[2]["n"]
+    left = (d[0][0] * one["c1"] + d[0][1] * one["c2"] + d[0][2] * one["more"]) / bigrams if bigrams else 1.0
+    return Model(files, layout, one["tokens"], one["kinds"], bigrams, d, left)
 
 
 class Reader:
     """The arrays of a model, mapped when first used."""
 
     def __init__(self, model: Model):
-        self.model, self._word, self._bigram = model, {}, {}
+        self.model, self._word, self._gram = model, {}, {}
 
     def word(self, o: int):
         if o not in self._word:
@@ -259,12 +356,12 @@ class Reader:
             self._word[o] = (np.frombuffer(m, U, n, 8), np.frombuffer(m, np.int64, 6 * n, 8 + 8 * n).reshape(6, n)) if n else None
         return self._word[o]
 
-    def bigram(self, o: int):
-        if o not in self._bigram:
-            m = self.model.files.map(f"bigram-{o}") if self._has(f"bigram-{o}") else None
-            n, big = (int(x) for x in np.frombuffer(m, np.int64, 2)) if m is not None else (0, 0)
-            self._bigram[o] = (np.frombuffer(m, U, n, 16), np.frombuffer(m, np.int64, big, 16 + 8 * n), np.frombuffer(m, np.int64, big, 16 + 8 * n + 8 * big), np.frombuffer(m, np.uint8, n, 16 + 8 * n + 16 * big)) if n else None
-        return self._bigram[o]
+    def gram(self, k: int, o: int):
+        if (k, o) not in self._gram:
+            name = f"gram{k}-{o}"
+            t = _unpacked(self.model.files.map(name), 1 if k == self.model.order else 5) if self._has(name) else None
+            self._gram[k, o] = t if t and len(t[0]) else None
+        return self._gram[k, o]
 
     def _has(self, name: str) -> bool:
         return self.model.files.has(name)
@@ -278,35 +375,39 @@ class Reader:
                 out[:, a:b] = np.where(t[0][k] == keys[a:b], t[1][:, k], 0)
         return out
 
-    def bigrams(self, ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-        key, owner = bigram_key(ctx, tok), self.model.layout.bigram(ctx, tok).astype(np.int32)
+    def grams(self, k: int, ctx: np.ndarray, tok: np.ndarray, columns: range) -> np.ndarray:
+        """For grams of k words, by the key of those before the last and the last: their count; if k is less than the
+        order, total, n1, n2, n3 as a context. Of these, the columns asked for."""
+        key, owner = mix(ctx + tok), self.model.layout.gram(ctx, tok).astype(np.int32)
         order = np.argsort(key)
         order = order[np.argsort(owner[order], kind="stable")]
-        key, out = key[order], np.zeros(len(key), np.int64)
+        key, out = key[order], np.zeros((len(columns), len(key)), np.int64)
         for o, a, b in _split(owner[order], self.model.layout.owners):
-            if (t := self.bigram(o)) is not None:
-                k = np.minimum(np.searchsorted(t[0], key[a:b]), len(t[0]) - 1)
-                c = np.where(t[0][k] == key[a:b], t[3][k], 0).astype(np.int64)
-                if (c == 255).any():
-                    c[c == 255] = t[2][np.searchsorted(t[1], k[c == 255])]
-                out[order[a:b]] = c
+            if (t := self.gram(k, o)) is not None:
+                at = np.minimum(np.searchsorted(t[0], key[a:b]), len(t[0]) - 1)
+                hit = t[0][at] == key[a:b]
+                for i, column in enumerate(columns):
+                    out[i, order[a:b][hit]] = _counts(t[1][column], at[hit])
         return out
 
 
 def log_probabilities(reader: Reader, h: np.ndarray, first: np.ndarray):
     """For each token, ends included: log10 of its probability under the model, its count; and where texts begin."""
     m = reader.model
-    ctx, tok, begin = sequences(h, first)
-    kinds, which = np.unique(np.concatenate((ctx, tok)), return_inverse=True)
-    info = reader.words(kinds)
-    a, total = info[5].astype(float), info[1].astype(float)
-    p1 = np.maximum(a - _discount(info[5], m.word_discount), 0) / max(m.bigrams, 1) + m.word_left / (m.kinds + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(total > 0, (m.discount[0] * info[2] + m.discount[1] * info[3] + m.discount[2] * info[4]) / total, 1.0)
-        c2 = reader.bigrams(ctx >> U(16), tok >> U(16))
-        v, w = which[: len(ctx)], which[len(ctx) :]
-        own = np.where(c2 > 0, np.maximum(c2 - _discount(c2, m.discount), 0) / total[v], 0.0)
-    return np.log10(own + left[v] * p1[w]), info[0][w], begin
+    padded, begin = sequences(h, first, m.order)
+    at = np.flatnonzero(padded != START)
+    kinds, which = np.unique(padded, return_inverse=True)
+    info, w, v = reader.words(kinds), which[at], which[at - 1]
+    p = (np.maximum(info[5] - _discount(info[5], m.discount[0]), 0) / max(m.bigrams, 1) + m.word_left / (m.kinds + 1))[w]
+    brief = padded >> U(16)
+    for k in range(2, m.order + 1):
+        d, gram = m.discount[k - 1], [brief[at - k + 1 + j] for j in range(k)]
+        c = reader.grams(k, gram_key(gram[:-1]), gram[-1], range(1))[0]
+        total, *n = info[1:5, v] if k == 2 else reader.grams(k - 1, gram_key(gram[:-2]), gram[-2], range(1, 5))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.where(c > 0, np.maximum(c - _discount(c, d), 0) / total, 0.0)
+            p = own + np.where(total > 0, (d[0] * n[0] + d[1] * n[1] + d[2] * n[2]) / total, 1.0) * p
+    return np.log10(p), info[0][w], begin
 
 
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"

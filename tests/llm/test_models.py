@@ -23,42 +23,49 @@ sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 # language model
 
 
-def brute_lm(train, texts):
-    seqs = [["<s>", *WORD.findall(lower(t)), "</s>"] for t in train]
-    bi = Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
-    uni = Counter(w for s in seqs for w in s[1:])
-    total, after = Counter(), {}
-    for (v, w), c in bi.items():
-        total[v] += c
-        after.setdefault(v, Counter())[min(c, 3)] += 1
-    before = Counter(w for _, w in bi)
+def brute_lm(train, texts, order=2):
+    told = lambda t: ["<s>"] * (order - 1) + [*WORD.findall(lower(t)), "</s>"]
+    grams = lambda s: [tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s))]
+    counts = {order: Counter(g for t in train for g in grams(told(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    uni = Counter(w for t in train for w in told(t)[order - 1 :])
     of = lambda counts: [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
-    d, e = lm.discounts(*of(bi.values())), lm.discounts(*of(before.values()))
-    disc = lambda c, d: 0 if c == 0 else d[min(c, 3) - 1]
-    left = sum(disc(a, e) for a in before.values()) / len(bi) if bi else 1.0
-    p1 = lambda w: (max(before[w] - disc(before[w], e), 0) / len(bi) if bi else 0) + left / (len(uni) + 1)
-
-    def p(v, w):
-        if not total[v]:
-            return p1(w)
-        c = bi[v, w]
-        return max(c - disc(c, d), 0) / total[v] + sum(d[k - 1] * n for k, n in after[v].items()) / total[v] * p1(w)
+    d = {k: lm.discounts(*of(c.values())) for k, c in counts.items()}
+    taken = lambda k, c: 0 if c == 0 else d[k][min(c, 3) - 1]
+    total, freed = Counter(), Counter()
+    for k in counts:
+        for g, c in counts[k].items():
+            total[k, g[:-1]] += c
+            freed[k, g[:-1]] += taken(k, c)
+
+    def p(ctx, w):
+        k = len(ctx) + 1
+        n = total[k, ctx]
+        if k == 1:
+            return max(counts[1][w,] - taken(1, counts[1][w,]), 0) / max(n, 1) + (freed[1, ()] / n if n else 1) / (len(uni) + 1)
+        if not n:
+            return p(ctx[1:], w)
+        c = counts[k][*ctx, w]
+        return max(c - taken(k, c), 0) / n + freed[k, ctx] / n * p(ctx[1:], w)
 
     n = sum(uni.values())
     out = []
     for t in texts:
-        s = ["<s>", *WORD.findall(lower(t)), "</s>"]
-        out.append((len(s) - 1, sum(uni[w] > 0 for w in s[1:]), n, sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in s[1:]), sum(math.log10(p(v, w)) for v, w in zip(s, s[1:], strict=False))))
+        s = told(t)[order - 1 :]
+        out.append((len(s), sum(uni[w] > 0 for w in s), n, sum(math.log10((uni[w] + 1) / (n + len(uni) + 1)) for w in s), sum(math.log10(p(g[:-1], g[-1])) for g in grams(told(t)))))
     return out, p, list(uni)
 
 
-def test_language_model(docs, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, monkeypatch, order):
     monkeypatch.setattr(lm, "HELD", 50)
     rng = random.Random(2)
-    texts = [*ODD, *(" ".join(rng.choices("the of And cat dog runs".split() + [f"r{i}" for i in range(60)], k=rng.randrange(1, 60))) for _ in range(40)), "never seen words"]
+    texts = [*ODD, *(" ".join(rng.choices("the of And cat dog runs".split() + [f"r{i}" for i in range(60)], [20] * 6 + [1] * 60, k=rng.randrange(1, 60))) for _ in range(40)), "never seen words"]
     df = docs(texts)
-    model = lm.train(df, where=F.col("doc_id") % 3 != 2)
-    want, p, kinds = brute_lm([t for i, t in enumerate(texts) if i % 3 != 2], texts)
+    model = lm.train(df, order=order, where=F.col("doc_id") % 3 != 2)
+    assert model.order == order
+    want, p, kinds = brute_lm([t for i, t in enumerate(texts) if i % 3 != 2], texts, order)
     got = {r.doc_id: r for r in lm.score(df, model, held_out=lambda i: i % 3 == 2).collect()}
     for i, (n, known, total, base, score) in enumerate(want):
         r = got[i]
@@ -66,20 +73,29 @@ def test_language_model(docs, monkeypatch):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
         assert r.perplexity == pytest.approx(10 ** (-score / n))
     for v in ("<s>", "the", "cat", "unknown"):
-        assert sum(p(v, w) for w in kinds) + p(v, "\0never") == pytest.approx(1)
+        ctx = (*["<s>", "of", "the"][: order - 2], v)
+        assert sum(p(ctx, w) for w in kinds) + p(ctx, "\0never") == pytest.approx(1)
 
 
-def test_language_model_of_nothing(docs):
-    model = lm.train(docs([]))
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_of_nothing(docs, order):
+    model = lm.train(docs([]), order=order)
     (r,) = lm.score(docs(["a b"]), model).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.score == pytest.approx(0) and r.base_score == pytest.approx(0)
     assert lm.score(docs([]), model).collect() == []
 
 
-def test_frequent_counts_are_kept(docs):
-    df = docs(["go " * 700 + "stop"])
-    want, _, _ = brute_lm(["go " * 700 + "stop"], ["go go stop"])
-    (r,) = lm.score(docs(["go go stop"]), lm.train(df)).collect()
+def test_order_of_one_is_refused(docs):
+    with pytest.raises(ValueError):
+        lm.train(docs([]), order=1)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_frequent_counts_are_kept(docs, order):
+    rest = " ".join(f"a{i} go" for i in range(400))
+    df = docs(["go " * 700 + "stop", rest, " ".join(f"b{i} go stop" for i in range(300))])
+    want, _, _ = brute_lm(["go " * 700 + "stop", rest, " ".join(f"b{i} go stop" for i in range(300))], ["go go stop"], order)
+    (r,) = lm.score(docs(["go go stop"]), lm.train(df, order=order)).collect()
     assert r.score == pytest.approx(want[0][4])
 
 
