@@ -67,7 +67,7 @@ def sequences(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def gram_key(grams: list[np.ndarray]) -> np.ndarray:
-    """Of 48-bit words: that of one more word w is mix(key + w)."""
+    """Of 48-bit words."""
     key = mix(grams[0] + U(1))
     for w in grams[1:]:
         key = mix(key + w)
@@ -84,14 +84,16 @@ class Layout:
     def spread(self) -> int:
         return min(SPREAD, self.owners)
 
-    def gram(self, ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-        """By the key of the words before and the last word."""
-        base = ((ctx >> U(32)) * U(self.owners // self.spread)) >> U(32)
+    def owner(self, grams: list[np.ndarray]) -> np.ndarray:
+        """Words by their range. Grams by the words before the last, whose successors are dealt to several owners; a
+        pair's first word by its range too, so that few owners of pairs have something for one owner of words."""
+        *before, tok = grams
+        if not before:
+            return (((tok >> U(16)) * U(self.owners)) >> U(32)).astype(np.int64)
+        ctx = before[0] >> U(16) if len(before) == 1 else gram_key(before) >> U(32)
+        base = (ctx * U(self.owners // self.spread)) >> U(32)
         return (base * U(self.spread) + tok % U(self.spread)).astype(np.int64)
 
-    def word(self, word48: np.ndarray) -> np.ndarray:
-        return (((word48 >> U(16)) * U(self.owners)) >> U(32)).astype(np.int64)
-
 
 def _split(owner: np.ndarray, owners: int):
     edge = np.searchsorted(owner, np.arange(owners + 1))
@@ -160,9 +162,9 @@ def _blocks(grams: list[np.ndarray], c: np.ndarray, layout: Layout) -> list[tupl
     if not before:
         order = np.argsort(tok)
         tok, c = tok[order], c[order]
-        return [_row("gram", "tok", 1, o, _planes(tok[a:b], 6), _planes(c[a:b], 8)) for o, a, b in _split(layout.word(tok), layout.owners)]
+        return [_row("gram", "tok", 1, o, _planes(tok[a:b], 6), _planes(c[a:b], 8)) for o, a, b in _split(layout.owner([tok]), layout.owners)]
     ctx = gram_key(before)
-    owner = layout.gram(ctx, tok)
+    owner = layout.owner(grams)
     order = np.lexsort((tok, ctx, owner))
     before, tok, c, ctx, owner = [w[order] for w in before], tok[order], c[order], ctx[order], owner[order]
     rows = []
@@ -244,7 +246,7 @@ def train(docs: DataFrame, *, order: int = 2, text: str = "text", where: Column
             padded = np.concatenate(held)
             at = np.flatnonzero(padded != START)
             words64, c = np.unique(padded[at], return_counts=True)
-            rows = [_row("word", "word", 1, o, _planes(words64[a:b], 8), _planes(c[a:b], 8)) for o, a, b in _split(layout.word(words64 >> U(16)), layout.owners)]
+            rows = [_row("word", "word", 1, o, _planes(words64[a:b], 8), _planes(c[a:b], 8)) for o, a, b in _split(layout.owner([words64 >> U(16)]), layout.owners)]
             padded >>= U(16)
             grams = [padded[at - order + 1 + j] for j in range(order)]
             del padded, at
@@ -293,7 +295,7 @@ def train(docs: DataFrame, *, order: int = 2, text: str = "text", where: Column
                 files.put(f"gram{k}-{o}", _packed(every, list(cols)))
             rows = [_row("sum", "sum", k, o, sums=(*_counts_of_counts(c), len(c)))]
             ctx, first, *stats = _distinct(gram_key(grams[:-1]), grams[:-1], c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-            owner = layout.gram(gram_key(first[:-1]), first[-1]) if k > 2 else layout.word(first[0])
+            owner = layout.owner(first)
             by = np.argsort(owner, kind="stable")
             sent, width = (ctx[by], 8) if k > 2 else (first[0][by], 6)
             for p, a, b in _split(owner[by], layout.owners):
@@ -369,16 +371,15 @@ class Reader:
     def words(self, keys: np.ndarray) -> np.ndarray:
         """For sorted words: count; total, n1, n2, n3 as a context; different words before."""
         out = np.zeros((6, len(keys)), np.int64)
-        for o, a, b in _split(self.model.layout.word(keys >> U(16)), self.model.layout.owners):
+        for o, a, b in _split(self.model.layout.owner([keys >> U(16)]), self.model.layout.owners):
             if (t := self.word(o)) is not None:
                 k = np.minimum(np.searchsorted(t[0], keys[a:b]), len(t[0]) - 1)
                 out[:, a:b] = np.where(t[0][k] == keys[a:b], t[1][:, k], 0)
         return out
 
-    def grams(self, k: int, ctx: np.ndarray, tok: np.ndarray, columns: range) -> np.ndarray:
-        """For grams of k words, by the key of those before the last and the last: their count; if k is less than the
-        order, total, n1, n2, n3 as a context. Of these, the columns asked for."""
-        key, owner = mix(ctx + tok), self.model.layout.gram(ctx, tok).astype(np.int32)
+    def grams(self, grams: list[np.ndarray], columns: range) -> np.ndarray:
+        """Their count and, if they are shorter than the order, total, n1, n2, n3 as a context: the columns asked for."""
+        k, key, owner = len(grams), gram_key(grams), self.model.layout.owner(grams).astype(np.int32)
         order = np.argsort(key)
         order = order[np.argsort(owner[order], kind="stable")]
         key, out = key[order], np.zeros((len(columns), len(key)), np.int64)
@@ -402,8 +403,8 @@ def log_probabilities(reader: Reader, h: np.ndarray, first: np.ndarray):
     brief = padded >> U(16)
     for k in range(2, m.order + 1):
         d, gram = m.discount[k - 1], [brief[at - k + 1 + j] for j in range(k)]
-        c = reader.grams(k, gram_key(gram[:-1]), gram[-1], range(1))[0]
-        total, *n = info[1:5, v] if k == 2 else reader.grams(k - 1, gram_key(gram[:-2]), gram[-2], range(1, 5))
+        c = reader.grams(gram, range(1))[0]
+        total, *n = info[1:5, v] if k == 2 else reader.grams(gram[:-1], range(1, 5))
         with np.errstate(divide="ignore", invalid="ignore"):
             own = np.where(c > 0, np.maximum(c - _discount(c, d), 0) / total, 0.0)
             p = own + np.where(total > 0, (d[0] * n[0] + d[1] * n[1] + d[2] * n[2]) / total, 1.0) * p
