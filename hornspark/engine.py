@@ -60,6 +60,8 @@ class Program:
         self.heads = {c.head.name for c in self.unit.clauses}
         self.temporal = {d.atom.name for d in self.unit.decls if d.temporal} | {c.head.name for c in self.unit.clauses if c.head.interval} | {p.name for c in self.unit.clauses for p in c.body if isinstance(p, Atom) and p.interval}
         self.bounds = Bounds(self.unit.decls)
+        if check_bounds:
+            self.bounds.check_rules(self.unit.clauses)
         self._arities()
         self._done: dict[str, Relation] = {}
         self._shapes: dict[str, tuple] = {}

@@ -91,6 +91,11 @@ CASES = {
     "infinite bounds come out": ("q(/x)@[_, _].", {(Name("/x"), BEGINNING, FOREVER)}),
     "sequence": ("a(/u)@[2024-01-01T00:05:00Z]. b(/u)@[2024-01-01T00:12:00Z]. b(/u)@[2024-01-01T00:30:00Z]. q(X, T) :- a(X)@[S, S], b(X)@[T, T], :time:lt(S, T), D = fn:time:sub(T, S), :duration:le(D, 10m).", {(Name("/u"), T(2024, 1, 1, 0, 12))}),
     "packages": (("Package a! p(8090).", "Package b! Use a! q(X) :- a.p(X)."), {(8090,)}),
+    "bounds of alternatives hold together": ('Decl p(X, Y) bound [/number, /string] bound [/string, /number]. Decl q(X, Y) bound [/number, /string] bound [/string, /number]. p(1, "a"). p("b", 2). q(X, Y) :- p(X, Y).', {(1, "a"), ("b", 2)}),
+    "bounds in a cycle": ("Decl e(X, Y) bound [/n, /n]. Decl q(X) bound [/n]. e(/n/a, /n/b). e(/n/b, /n/a). r(/n/a). r(Y) :- r(X), e(X, Y). q(X) :- r(X), e(X, _).", {(Name("/n/a"),), (Name("/n/b"),)}),
+    "bounds after a test of prefixes": ("Decl p(X) bound [/name]. Decl q(X) bound [/a]. p(/a/x). p(/b/x). q(X) :- p(X), :match_prefix(X, /a).", {(Name("/a/x"),)}),
+    "bounds and computed values": ("Decl p(X) bound [/number]. Decl q(X, Y) bound [/number, /number]. p(1). q(X, Y) :- p(X), Y = fn:plus(X, 1).", {(1, 2)}),
+    "bounds and aggregates": ("Decl p(X, Y) bound [/a, /string]. Decl q(X, Y) bound [/a, /number]. p(/a/b, \"x\"). q(X, Y) :- p(X, Y0) |> do fn:group_by(X); let Y = fn:count().", {(Name("/a/b"), 1)}),
     "bounds that hold": ("Decl q(X) bound [/number] bound [.List</string>]. q(1).", {(1,)}),
 }
 
@@ -128,6 +133,16 @@ def test_recursion_on_spark_gives_the_same(spark, name):
         ("Decl p(X) bound [/color]. p(/shape/round).", "bounds"),
         ("Decl p(X) bound [.List</number, /string>].", "takes"),
         ("p(1). q(X) :- p(X), :nothing(X).", "unknown predicate"),
+        ("Decl p(X) bound [/number]. Decl r(X) bound [/string]. q(X) :- p(X), r(X).", "bounds"),
+        ("Decl p(X) bound [/a]. Decl r(X) bound [/ab]. q(X) :- p(X), r(X).", "bounds"),
+        ("Decl p(X) bound [/a]. Decl q(X) bound [/b]. q(X) :- p(X).", "bounds"),
+        ("Decl p(X) bound [/name]. Decl q(X) bound [/a]. q(X) :- p(X).", "bounds"),
+        ("Decl p(X) bound [/number]. q(X) :- X = /a, p(X).", "bounds"),
+        ("Decl p(X, Y) bound [/number, /string]. q(X) :- p(X, 1).", "bounds"),
+        ("Decl p(X, Y) bound [/number, /string] bound [/string, /number]. q(X) :- p(X, X).", "bounds"),
+        ("Decl p(X) bound [/a]. Decl q(X) bound [/b]. r(X) :- p(X). q(X) :- r(X).", "bounds"),
+        ('Decl q(X) bound [/string]. r(X) :- p(X). p(1). q(X) :- r(X), X < 3.', "bounds"),
+        ("Decl p(X) bound [/a]. Decl q(X) bound [/b]. q(X) :- p(X) |> do fn:group_by(X).", "bounds"),
     ],
 )
 def test_errors(spark, source, said):
