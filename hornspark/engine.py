@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 from functools import reduce
 
@@ -16,6 +16,7 @@ from hornspark.operators.relation import Relation, empty, minus, of_rows, union
 from hornspark.operators.rules import evaluate
 from hornspark.operators.temporal import coalesce
 from hornspark.plans.bounds import Bounds
+from hornspark.plans.classes import Fold, fold
 from hornspark.plans.fixpoint import solve
 from hornspark.plans.stratify import Stratum, reachable, strata
 from hornspark.values import constant, key, kind_of, once, term
@@ -41,12 +42,12 @@ class Engine:
         return p
 
 
-def from_frame(df: DataFrame, *, not_null: bool = False, distinct: bool = False) -> Relation:
-    """A relation over a DataFrame, its columns by place. not_null, distinct: what the caller knows of the data, which
-    spares null-safe joins and the removal of repeated rows before grouping."""
+def from_frame(df: DataFrame, *, not_null: bool = False, distinct: bool = False, key: tuple[int, ...] | None = None) -> Relation:
+    """A relation over a DataFrame, its columns by place. not_null, distinct, key: what the caller knows of the data, which
+    spares null-safe joins, the removal of repeated rows before grouping, and pairs of values that a key shows to be alike."""
     kinds = tuple(of_spark(f.dataType) for f in df.schema.fields)
     cols = [adapted(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
-    return Relation(df.select(*cols), kinds, (not not_null,) * len(kinds), distinct)
+    return Relation(df.select(*cols), kinds, (not not_null,) * len(kinds), distinct or key is not None, key=key)
 
 
 class Program:
@@ -234,12 +235,21 @@ class Program:
 
         return look
 
+    def _rule(self, name: str) -> tuple[Clause, Callable] | None:
+        """The one rule that gives all of a relation that is not recursive, and what its premises read."""
+        rules = [c for c in self.unit.clauses if c.head.name == name]
+        if len(rules) != 1 or not rules[0].body or name in self.temporal or any(s.recursive for s in self.strata if name in s.names):
+            return None
+        return rules[0], self._lookup(rules[0])
+
     def _evaluate(self, s: Stratum) -> None:
         rules = [c for c in self.unit.clauses if c.head.name in s.names and (c.body or not self._constant(c))]
         facts = {n: f for n in s.names if (f := self._facts(n)) is not None}
         if s.recursive:
             some = {p.name if isinstance(p, Atom) else p.atom.name: self._lookup(c)(p.name if isinstance(p, Atom) else p.atom.name, i) for c in rules for i, p in enumerate(c.body) if isinstance(p, Atom | Not) and not (p.name if isinstance(p, Atom) else p.atom.name).startswith(":") and (p.name if isinstance(p, Atom) else p.atom.name) not in s.names}
-            got = solve(self.spark, s.names, rules, facts, lambda name, place: some[name], self.arity, self.max_rounds, self.small)
+            by = Fold(some, {}) if s.names & self.temporal else fold(self.spark, s.names, rules, facts, some, self._rule)
+            got = solve(self.spark, s.names, rules, facts, lambda name, place: by.inputs[name], self.arity, self.max_rounds, self.small)
+            got = {n: by.whole(n, r) for n, r in got.items()}
         else:
             (name,) = s.names
             parts = [evaluate(self.spark, c, self._lookup(c)) for c in rules] + list(facts.values())

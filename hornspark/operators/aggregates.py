@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import takewhile
+
 from pyspark.sql import functions as F
 
 from hornspark.functions.registry import double, number
 from hornspark.kinds import ANY, FLOAT, NUMBER, Typed, list_of, order_key
-from hornspark.lang.syntax import Call, LanguageError, Var
+from hornspark.lang.syntax import Atom, Call, LanguageError, Var
 
 #: Aggregates for which a value that comes more than once counts as one.
 _ONCE = ("fn:max", "fn:min", "fn:collect_distinct", "fn:float:max", "fn:float:min")
@@ -95,4 +97,33 @@ def group(body, steps: list) -> None:
     body.distinct, body.telling = True, set(keys)
 
 
-__all__ = ["AGGREGATES", "group"]
+def count_classes(body, steps: list) -> bool:
+    """Where the body is one atom over a relation that is known by classes of values, and groups are counted only: count by
+    the sizes of classes, so that no row but those of the groups is made. Says whether that was done."""
+    from hornspark.operators.rules import Slot
+
+    clause = body.clause
+    if not clause.grouped or len(clause.body) != 1 or not isinstance(clause.body[0], Atom) or clause.body[0].name.startswith(":"):
+        return False
+    terms = clause.body[0].terms
+    r = body.lookup(clause.body[0].name, 0)
+    names = [t.name for t in terms if isinstance(t, Var)]
+    keys = [getattr(a, "name", None) for a in getattr(steps[0].call, "args", ())]
+    lets = list(takewhile(lambda s: isinstance(s.call, Call) and s.call.name in AGGREGATES, steps[1:]))
+    if r.folded is None or r.arity != len(terms) or len(set(names)) != len(terms) or not set(keys) <= set(names) or not lets or any(s.call.name != "fn:count" for s in lets):
+        return False
+    df, weight = r.folded.core.df, F.lit(1).cast("long")
+    for i, c in enumerate(r.folded.classes):
+        if c and names[i] not in keys:
+            df = df.join(c.sizes.select(F.col("rep").alias(f"r{i}"), F.col("n").alias(f"n{i}")), F.col(f"c{i}").eqNullSafe(F.col(f"r{i}")))
+            weight = weight * F.col(f"n{i}")
+    places = [names.index(k) for k in dict.fromkeys(keys)]
+    df = df.groupBy(*[f"c{i}" for i in places]).agg(F.sum(weight).alias("n")).where("n IS NOT NULL")
+    body.df = r.folded.expanded(df, places)
+    body.slots = {names[i]: Slot(f"c{i}", r.kinds[i], r.nullable[i]) for i in places} | {s.var: Slot("n", NUMBER, False) for s in lets}
+    body.distinct, body.telling = True, set(keys)
+    del steps[: 1 + len(lets)]
+    return True
+
+
+__all__ = ["AGGREGATES", "count_classes", "group"]

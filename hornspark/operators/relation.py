@@ -13,10 +13,37 @@ from hornspark.lang.syntax import LanguageError
 from hornspark.values import micros_time, python_value, rows_frame
 
 
+@dataclass(frozen=True)
+class Classes:
+    """Values of a column that stand in the same rows. members: each value with the least of its class (rep); sizes: how
+    many values (n) each class has."""
+
+    members: DataFrame
+    sizes: DataFrame
+
+
+@dataclass(frozen=True)
+class Folded:
+    """core: the rows of which each value is the least of its class, in columns that have classes."""
+
+    core: Relation
+    classes: tuple[Classes | None, ...]
+
+    def expanded(self, df: DataFrame, columns: Iterable[int]) -> DataFrame:
+        """All members of the classes of some columns c0, c1, ... of rows of the core; other columns stay."""
+        names = df.columns
+        for i in columns:
+            if self.classes[i]:
+                members = self.classes[i].members.select(F.col("value").alias("m_value"), F.col("rep").alias("m_rep"))
+                df = df.join(members, F.col(f"c{i}").eqNullSafe(F.col("m_rep"))).drop(f"c{i}", "m_rep").withColumnRenamed("m_value", f"c{i}")
+        return df.select(*names)
+
+
 @dataclass(frozen=True)
 class Relation:
     """distinct: no row comes twice. nullable: which columns may be null. local: the rows, where they are few and known
-    without Spark; the DataFrame is then made when it is asked for."""
+    without Spark; the DataFrame is then made when it is asked for. key: columns that tell the rows apart, as the caller
+    says of a table. folded: the same rows by classes of values."""
 
     frame: DataFrame | None
     kinds: tuple[Kind, ...]
@@ -25,6 +52,8 @@ class Relation:
     temporal: bool = False
     local: list[tuple] | None = None
     spark: SparkSession | None = None
+    key: tuple[int, ...] | None = None
+    folded: Folded | None = None
 
     @cached_property
     def df(self) -> DataFrame:
@@ -43,7 +72,7 @@ class Relation:
         return self if self.distinct else self.with_frame(self.df.distinct(), distinct=True)
 
     def with_frame(self, df: DataFrame, **changes) -> Relation:
-        return replace(self, frame=df, local=None, **changes)
+        return replace(self, frame=df, local=None, key=None, folded=None, **changes)
 
     def converted(self, kinds: tuple[Kind, ...]) -> Relation:
         if kinds == self.kinds:
