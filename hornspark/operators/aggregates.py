@@ -94,7 +94,7 @@ def group(body, steps: list) -> None:
         # Spark gives a row even where there is nothing to group; here there is no group then
         body.df = body.frame().agg(*cols, F.count(F.lit(1)).alias("a_rows")).where("a_rows > 0").drop("a_rows")
     body.slots = {k: body.slots[k] for k in keys} | {v: Slot(c, x.kind, x.nullable) for v, c, x in made}
-    body.distinct, body.telling = True, set(keys)
+    body.distinct, body.telling, body.follows = True, set(keys), []
 
 
 def count_classes(body, steps: list) -> bool:
@@ -121,7 +121,7 @@ def count_classes(body, steps: list) -> bool:
     df = df.groupBy(*[f"c{i}" for i in places]).agg(F.sum(weight).alias("n")).where("n IS NOT NULL")
     body.df = r.folded.expanded(df, places)
     body.slots = {names[i]: Slot(f"c{i}", r.kinds[i], r.nullable[i]) for i in places} | {s.var: Slot("n", NUMBER, False) for s in lets}
-    body.distinct, body.telling = True, set(keys)
+    body.distinct, body.telling, body.follows = True, set(keys), []
     del steps[: 1 + len(lets)]
     return True
 

@@ -256,6 +256,36 @@ def test_plans(spark, sf):
     assert "FRANCE" in plan(by.df)
 
 
+KEYS = {  # whether the keys of tables show that no row comes twice
+    "q(A, B) :- supplier(A, _, N, _), supplier(B, _, N, _), A < B.": True,
+    "q(C, M) :- customer(C, _, N, _, _), nation(N, M, _).": True,
+    "q(O, M) :- orders(O, C, _, _, _, _), customer(C, _, N, _, _), nation(N, M, _).": True,
+    "q(K, R) :- nation(K, _, RK), X = fn:minus(RK, 1), region(X, R).": True,
+    "q(A, B) :- nation(A, _, R), region(R, B), supplier(S, _, A, _).": None,
+    "q(B) :- supplier(A, _, N, _), supplier(B, _, N, _), A < B.": False,
+    "q(N, M) :- customer(C, _, N, _, _), nation(N, M, R), region(R, _).": False,
+    "q(A, N) :- customer(A, _, N, _, _), supplier(_, _, N, X), X > 0.0, orders(_, A, _, Y, _, _), Y > X.": False,
+    "q(A, B) :- nation(A, _, R), supplier(_, _, A, X), nation(B, _, R), supplier(_, _, B, Y), X < Y.": False,
+    "q(R, M) :- nation(K, _, R) |> do fn:group_by(R); let M = fn:max(K).": None,
+}
+
+
+@pytest.mark.parametrize("rule", KEYS)
+def test_keys_tell_whether_rows_come_twice(spark, sf, rule):
+    table = lambda n, key: from_frame(spark.read.parquet(f"{sf}/{n}.parquet"), not_null=True, distinct=True, key=key)
+    got, want = (Engine(spark).program(rule, tables={n: table(n, key) for n in ("customer", "orders", "nation", "region", "supplier")}).relation("q") for key in ((0,), None))
+    if KEYS[rule] is not None:
+        assert ("Aggregate" not in plan(got.df)) == KEYS[rule]
+    rows = list(got.rows())
+    assert len(rows) == len(set(rows)) and set(rows) == want.facts()
+
+
+def test_rows_are_dealt_out_before_pairs_are_made(spark, sf):
+    table = lambda n: from_frame(spark.read.parquet(f"{sf}/{n}.parquet"), not_null=True, key=(0,))
+    p = Engine(spark).program("q(A, B) :- supplier(A, _, N, _), supplier(B, _, N, _), A < B. c(C, M) :- customer(C, _, N, _, _), nation(N, M, _). o(C, O) :- customer(C, _, _, _, _), orders(O, C, _, _, _, _).", tables={n: table(n) for n in ("customer", "nation", "orders", "supplier")})
+    assert [plan(p.relation(n).df).count("REPARTITION_BY_NUM") for n in "qco"] == [1, 0, 0]
+
+
 def test_cross_kind_filters_reach_the_scan(spark, sf):
     p = Engine(spark).program("q(O) :- orders(O, _, _, _, D, _), D >= 1995-01-01.", tables={"orders": from_frame(spark.read.parquet(f"{sf}/orders.parquet"), not_null=True)})
     assert "GreaterThanOrEqual(o_orderdate" in plan(p.relation("q").df)
